@@ -19,6 +19,6 @@ gone AS (
 )
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
-    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> NOT list_contains(ps, x[2])), x -> x[1]) END, ' '), '')) AS kept_sha256
+    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """

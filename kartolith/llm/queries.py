@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from . import oracles
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE_SQL = {
