@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import oracles
 from .exact_dedup import op2_exact_dedup
 from .line_dedup import op6_line_dedup
+from .packing import op5_packing
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
