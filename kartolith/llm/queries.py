@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .exact_dedup import op2_exact_dedup
 from .line_dedup import op6_line_dedup
+from .near_dedup import op10_near_dedup
 from .packing import op5_packing
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
