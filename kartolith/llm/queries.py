@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .exact_dedup import op2_exact_dedup
+from .language_id import op7_language_id
 from .line_dedup import op6_line_dedup
 from .near_dedup import op10_near_dedup
 from .packing import op5_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
