@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .exact_dedup import op2_exact_dedup
+from .html_extraction import op4_html_extraction
 from .language_id import op7_language_id
 from .line_dedup import op6_line_dedup
 from .near_dedup import op10_near_dedup
@@ -14,6 +15,7 @@ from .suffix_dedup import op8_suffix_dedup
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
