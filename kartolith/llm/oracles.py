@@ -38,3 +38,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (holder <> doc_id) AS n_drop
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN h USING (k) GROUP BY doc_id
 """
+
+DECONTAMINATION = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (
+  SELECT DISTINCT side, id, array_to_string(w[k:k+4], ' ') AS sh
+  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)
+),
+n AS (SELECT id AS item_id, count(*) AS m FROM s WHERE side = 'i' GROUP BY id),
+p AS (
+  SELECT d.id AS doc_id, item_id, count(*) AS shared, any_value(m) AS m
+  FROM s d JOIN s i USING (sh) JOIN n ON n.item_id = i.id WHERE d.side = 'd' AND i.side = 'i' GROUP BY d.id, item_id
+),
+f AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(cast(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(shared / m) AS containment
+  FROM p WHERE 100 * shared >= 70 * m GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_items, 0) > 0 AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment
+FROM documents LEFT JOIN f USING (doc_id)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracles
+from .decontamination import op3_decontamination
 from .exact_dedup import op2_exact_dedup
 from .html_extraction import op4_html_extraction
 from .language_id import op7_language_id
@@ -15,6 +16,7 @@ from .suffix_dedup import op8_suffix_dedup
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
@@ -26,5 +28,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op3_decontamination": oracles.DECONTAMINATION,
     "op6_line_dedup": oracles.LINE_DEDUP,
 }
