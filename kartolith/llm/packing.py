@@ -18,6 +18,7 @@ Empty table: empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,67 +33,123 @@ from ._common import written
 #: A space that always begins a word of the pre-tokeniser: white space never follows it.
 _SPACE = re.compile("\x20(?=[!-~À-߿])")
 GROUP_DOCS = 20_000
-_MEMO_WORDS, _MEMO_BYTES = 400_000, 64 << 20
+_MEMO_WORDS, _MEMO_BYTES, _JOINED = 300_000, 16 << 20, 1000
 _DOC = "doc_id long, doc_tokens long, crcs array<long>"
 _DOC_PA = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64()))])
 
 
 class _Words(dict):
-    """Numbers words as they come; a miss waits for the next ``encode``."""
+    """Numbers words as they come; ids of new ones wait for the next ``learn``.
 
-    def __init__(self, lead: str):
+    Two generations bound the memory: a full one becomes the old one, from which words in use return.
+    """
+
+    def __init__(self, encode):
         super().__init__()
-        self.lead, self.new = lead, []
+        self.encode, self.old = encode, None
+        self._begin()
+
+    def _begin(self) -> None:
+        self.new: list[str] = []
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.bytes = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.new.append(self.lead + word)
+        self.new.append(word)
         return n
 
+    def turn(self) -> None:
+        """Starts a new generation if this one is full."""
+        if len(self) > _MEMO_WORDS or self.bytes > _MEMO_BYTES:
+            self.old = dict(self), self.flat, self.start, self.size
+            self.clear()
+            self._begin()
+
+    def learn(self) -> None:
+        if not self.new:
+            return
+        flat, size = [self.flat], np.zeros(len(self.new), np.int64)
+        known = np.array([self.old[0].get(w, -1) for w in self.new], np.int64) if self.old else np.full(len(self.new), -1)
+        back, unknown = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+        order = np.concatenate([back, unknown])
+        if len(back):
+            _, ids, start, n = self.old
+            size[back] = n[known[back]]
+            flat.append(ids[_ranges(start[known[back]], size[back])])
+        if len(unknown):
+            words = [self.new[i] for i in unknown.tolist()]
+            ids, size[unknown] = self.encode(words)
+            flat.append(ids)
+            self.bytes += sum(map(len, words))
+        start = np.empty(len(self.new), np.int64)
+        start[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.flat = np.concatenate(flat)
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.new = []
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i] .. start[i] + size[i] - 1, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
 
 class Encoder:
     """Ids of whole texts, equal to those of ``tokenizers`` without special tokens added."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.first, self.rest = _Words(""), _Words(" ")
-        self.bytes = 0
-        self.flat = [np.empty(0, np.uint32)] * 2
-        self.offsets = [np.zeros(1, np.int64)] * 2
-
-    def _learn(self) -> None:
-        for i, words in enumerate((self.first, self.rest)):
-            if words.new:
-                got = [x.ids for x in self.tokenizer.encode_batch_fast(words.new, add_special_tokens=False)]
-                self.bytes += sum(map(len, words.new))
-                words.new = []
-                size = np.fromiter(map(len, got), np.int64, len(got))
-                self.flat[i] = np.concatenate([self.flat[i], np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))])
-                self.offsets[i] = np.concatenate([self.offsets[i], self.offsets[i][-1] + np.cumsum(size)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # byte-level BPE's sign for a space
+        self.first, self.rest = _Words(self._each), _Words(self._joined)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(got), np.array([len(x) for x in got], np.int64)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words after a space: many in one text, told apart by the space each begins with."""
+        ids, size, at = [], np.zeros(len(words), np.int64), []
+        plain = [i for i, w in enumerate(words) if "\x20" not in w]
+        parts = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
+        for some, x in zip(parts, self.tokenizer.encode_batch_fast(["\x20" + "\x20".join([words[i] for i in some]) for some in parts], add_special_tokens=False)):
+            got = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(self.spaced[got])
+            ids.append(got)
+            size[some] = np.diff(np.append(cuts, len(got)))
+            at.extend(some)
+        odd = [i for i, w in enumerate(words) if "\x20" in w]
+        if odd:
+            got, size[odd] = self._each(["\x20" + words[i] for i in odd])
+            ids.append(got)
+            at.extend(odd)
+        flat, at = np.concatenate(ids), np.array(at)
+        start = np.empty(len(words), np.int64)
+        start[at] = np.cumsum(size[at]) - size[at]
+        return flat[_ranges(start, size)], size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.rest) > _MEMO_WORDS or self.bytes > _MEMO_BYTES:
-            self.forget()
         heads, tails, sizes = [], [], []
+        self.first.turn()
+        self.rest.turn()
+        number = self.rest.__getitem__
         for text in texts:
             head, *words = _SPACE.split(text)
             heads.append(self.first[head])
             sizes.append(len(words))
-            tails.extend(map(self.rest.__getitem__, words))
-        self._learn()
+            tails.extend(map(number, words))
+        self.first.learn()
+        self.rest.learn()
         words = np.array(tails, np.int64)
-        begin, end = self.offsets[1][words], self.offsets[1][words + 1]
-        n = end - begin
-        cum = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[1][np.arange(cum[-1]) + np.repeat(begin - cum[:-1], n)]
-        cuts = cum[np.concatenate([[0], np.cumsum(sizes)])]
-        o = self.offsets[0]
-        return [np.concatenate([self.flat[0][o[h] : o[h + 1]], ids[cuts[i] : cuts[i + 1]]]) for i, h in enumerate(heads)]
+        n = self.rest.size[words]
+        ids = self.rest.flat[_ranges(self.rest.start[words], n)]
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        f = self.first
+        return [np.concatenate([f.flat[f.start[h] : f.start[h] + f.size[h]], ids[cuts[i] : cuts[i + 1]]]) for i, h in enumerate(heads)]
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
