@@ -60,3 +60,9 @@ f AS (
 SELECT doc_id, coalesce(n_items, 0) > 0 AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment
 FROM documents LEFT JOIN f USING (doc_id)
 """
+
+WARC_FIXITY = """
+SELECT page_id, url, cast(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS payload_sha256,
+  substr(md5(concat(coalesce(cast(page_id AS VARCHAR), ''), ' ', coalesce(url, ''))), 1, 2) <> '00' AS intact
+FROM pages
+"""

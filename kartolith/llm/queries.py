@@ -12,6 +12,7 @@ from .near_dedup import op10_near_dedup
 from .packing import op5_packing
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .warc import op9_warc_fixity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -30,4 +32,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op3_decontamination": oracles.DECONTAMINATION,
     "op6_line_dedup": oracles.LINE_DEDUP,
+    "op9_warc_fixity": oracles.WARC_FIXITY,
 }
