@@ -1,8 +1,62 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of ``documents``.  Rows with a null doc_id pass the near-dedup stage as one document.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kartolith.llm._common import written
+from kartolith.llm.decontamination import decontaminate
+from kartolith.llm.language_id import identify, learn, remainder
+from kartolith.llm.line_dedup import line_dedup
+from kartolith.llm.near_dedup import near_dedup
+from kartolith.llm.packing import pack
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents (no letter, or far from every language learned) go."""
+    model = learn(docs, where=remainder() != 2)
+    return identify(docs, model, COLUMNS).where("not rejected").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; every document stays with what is left of it."""
+    kept = line_dedup(docs.withColumn("rest", F.struct("lang", "source")), carry="rest")
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    gone = near_dedup(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COLUMNS, text_col="text")
+    return found.where("not contaminated").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("packing", packing)]
+
+#: MinHash candidates, nearest centroids and tokens have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
