@@ -77,9 +77,11 @@ def balanced_labels(width: int, each: int) -> np.ndarray:
     return np.array([found[i % width][i // width] for i in range(width * each)], dtype=np.int32)
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int) -> tuple[DataFrame, int]:
+def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int, carry: str | None = None) -> tuple[DataFrame, int]:
     """(bucket, doc_id, text) with nulls replaced, hash-partitioned by bucket; and the partition count.
 
+    carry: a column that travels along as ``carried``.
+
     All later steps of one query start from this frame, whose exchange Spark reuses, so texts move once.
     """
     width = shuffle_width(docs.sparkSession)
@@ -91,8 +93,9 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int) -> tuple[Da
         docs.select(
             F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
             F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+            *([F.col(f"`{carry}`").alias("carried")] if carry else []),
         )
-        .select(slot.alias("bucket"), "doc_id", "text")
+        .select(slot.alias("bucket"), "doc_id", "text", *(["carried"] if carry else []))
         .repartition(width, "bucket"),
         width,
     )
@@ -103,10 +106,18 @@ def null_ids(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in cols})
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def bucket_carried(table: pa.Table) -> pa.Array:
+    """The carried column in the order of ``bucket_rows``."""
+    return _ordered(table.select(["doc_id", "text", "carried"])).column("carried").combine_chunks()
+
+
 def bucket_rows(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """bucket, ids, bytes, offsets of a bucket in its one order: by doc_id, then text."""
-    table = table.combine_chunks()
-    order = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    order = _ordered(table.select(["bucket", "doc_id", "text"]))
     ids = order.column("doc_id").to_numpy()
     data, off = utf8(order.column("text"))
     return int(table.column("bucket")[0].as_py()), ids, data, off

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import REQUEST, DATA, balanced_labels, bucket_rows, bucketed, messages, null_ids, pack_bits, reduce_parts, replies_table, requests_table, string_array, unpack_bits
+from ._common import REQUEST, DATA, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, pack_bits, reduce_parts, replies_table, requests_table, string_array, unpack_bits
 from ._hashing import IS_WS, LOWER, classes, dense_rank
 from .substring_dedup import _slices
 
@@ -146,10 +146,11 @@ def _decide(min_docs: int, fanout: int):
 _OUT = "doc_id long, n_lines long, n_dropped long, kept_text string"
 
 
-def _drop(labels: np.ndarray, min_chars: int):
+def _drop(labels: np.ndarray, min_chars: int, carry: str | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            extra = [left.column("carried").combine_chunks()] if carry else []
+            return pa.table([*(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())), *extra], names=["doc_id", "n_lines", "n_dropped", "kept_text", *([carry] if carry else [])])
         x = _Lines(left, min_chars)
         by = {p: m for p, _, m in messages(right)}
         gone = np.zeros(len(x.ends), bool)
@@ -170,18 +171,22 @@ def _drop(labels: np.ndarray, min_chars: int):
         np.add.at(flag, x.ends[which], -1)
         take = np.cumsum(flag[:-1], dtype=np.int8) > 0
         dropped = np.bincount(x.doc[gone], minlength=len(x.ids))
-        return pa.table({"doc_id": x.ids, "n_lines": x.count, "n_dropped": dropped, "kept_text": string_array(x.data[take], np.concatenate([[0], np.cumsum(take)])[x.off])})
+        out = pa.table({"doc_id": x.ids, "n_lines": x.count, "n_dropped": dropped, "kept_text": string_array(x.data[take], np.concatenate([[0], np.cumsum(take)])[x.off])})
+        return out.append_column(carry, bucket_carried(left)) if carry else out
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, fanout: int = 4) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_text (kept lines joined by a line feed)."""
-    rows, width = bucketed(docs, id_col, text_col, 4)
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, fanout: int = 4, carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_text (kept lines joined by a line feed) and the column ``carry``."""
+    if carry in ("doc_id", "n_lines", "n_dropped", "kept_text"):
+        raise ValueError("carry is a name of the result")
+    rows, width = bucketed(docs, id_col, text_col, 4, carry)
+    kind = f", `{carry}` {docs.schema[carry].dataType.simpleString()}" if carry else ""
     labels = balanced_labels(width, 1)
     grouped = rows.groupBy("bucket")
     replies = reduce_parts(grouped.applyInArrow(_keys(labels, min_chars), REQUEST), width, _decide(min_docs, fanout))
-    return null_ids(grouped.cogroup(replies.groupBy("bucket")).applyInArrow(_drop(labels, min_chars), _OUT), "doc_id")
+    return null_ids(grouped.cogroup(replies.groupBy("bucket")).applyInArrow(_drop(labels, min_chars, carry), _OUT + kind), "doc_id")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
