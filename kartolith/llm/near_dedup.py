@@ -8,7 +8,7 @@ The forest has ``trees`` orders of one signature, each sorted by its own rotatio
 agree on the first ``DEPTH`` values of an order are one region.  Small regions are compared in full.  Dense
 ones are adapted: each document meets the first of its region and of every deeper prefix it shares.
 Where a dense region still holds several components, its documents go through another round with new hash
-functions and new leaders, until a round joins nothing more.  Every link is confirmed on full sets.
+functions and new leaders, across components only, until a round joins nothing more.  Every link is confirmed on full sets.
 
 All exchanges are packed (see ``_common``): texts move once a round, a leader's set moves once per bucket
 of documents that it meets, and no region's sets meet in one task.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, messages, null_ids, reduce_parts, replies_table, requests_table, written
+from ._common import DATA, MEMO, NULL_ID, REQUEST, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, reduce_parts, replies_table, requests_table, written
 from ._hashing import BASE2, LOWER, mix, prefix, spans, windows, within, word_hashes, word_spans
 from .substring_dedup import _slices
 
@@ -90,6 +90,7 @@ def _digests(sh: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         bucket, ids, data, off = bucket_rows(table)
+        component = bucket_carried(table).to_numpy() if "carried" in table.column_names else ids
         sh, so = shingle_sets(data, off, size)
         n = np.diff(so)
         d1, d2 = _digests(sh, so)
@@ -121,7 +122,7 @@ def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
             which = own[used]
             index = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
             head = np.array([b - a, len(used), index.itemsize], np.int64)
-            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], d1[which], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index))))
+            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], d1[which], component[which], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index))))
         return requests_table(rows)
 
     return run
@@ -130,19 +131,19 @@ def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
 def _regions(percent: int, by_order: bool):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         for bucket, _, m in messages(table):
             n, u, width = np.frombuffer(m, np.int64, 3).tolist()
             keys = np.frombuffer(m, np.uint64, n, 24)
             at = 24 + 8 * n
-            ids, d1 = np.frombuffer(m, np.int64, u, at), np.frombuffer(m, np.uint64, u, at + 8 * u)
-            at += 16 * u
+            ids, d1, comp = np.frombuffer(m, np.int64, u, at), np.frombuffer(m, np.uint64, u, at + 8 * u), np.frombuffer(m, np.int64, u, at + 16 * u)
+            at += 24 * u
             deep = np.frombuffer(m, np.uint32, n, at)
             which, sizes = np.frombuffer(m, np.uint32, u, at + 4 * n), np.frombuffer(m, np.uint32, u, at + 4 * n + 4 * u)
             index = np.frombuffer(m, np.uint16 if width == 2 else np.uint32, n, at + 4 * n + 8 * u)
-            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64))):
+            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index])):
                 c.append(v)
-        key, deep, ids, d1, bucket, which, sizes = map(np.concatenate, cols)
+        key, deep, ids, d1, bucket, which, sizes, comp = map(np.concatenate, cols)
         order = np.argsort(key, kind="stable")
         new = np.append(True, key[order][1:] != key[order][:-1])
         start = np.flatnonzero(new)
@@ -150,11 +151,11 @@ def _regions(percent: int, by_order: bool):
         order = order[np.repeat(dense > 1, dense)]  # alone in its region: nothing to compare
         if not len(order):
             return replies_table([])
-        key, deep, ids, d1, bucket, which, sizes = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes))
+        key, deep, ids, d1, bucket, which, sizes, comp = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes, comp))
         order = np.lexsort((ids, d1, deep, key))
-        key, deep, ids, d1, bucket, which, sizes = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes))
+        key, deep, ids, d1, bucket, which, sizes, comp = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes, comp))
         fresh = np.append(True, (key[1:] != key[:-1]) | (d1[1:] != d1[:-1]))  # equal sets: the smallest speaks for all
-        key, deep, ids, bucket, which, sizes = (c[fresh] for c in (key, deep, ids, bucket, which, sizes))
+        key, deep, ids, bucket, which, sizes, comp = (c[fresh] for c in (key, deep, ids, bucket, which, sizes, comp))
         new = np.append(True, key[1:] != key[:-1])
         region = np.cumsum(new) - 1
         count = np.diff(np.append(np.flatnonzero(new), len(key)))[region]
@@ -182,7 +183,7 @@ def _regions(percent: int, by_order: bool):
                 right.append(many)
         a, x = np.concatenate(left), np.concatenate(right)
         lo, hi = np.minimum(sizes[a], sizes[x]), np.maximum(sizes[a], sizes[x])
-        ok = (a != x) & (100 * lo >= percent * hi)
+        ok = (comp[a] != comp[x]) & (100 * lo >= percent * hi)  # in one component already: nothing to learn
         a, x = a[ok], x[ok]
         swap = (ids[a] > ids[x]) & (not by_order)
         a, x = np.where(swap, x, a), np.where(swap, a, x)
@@ -279,8 +280,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _round(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, trees: int, number: int) -> DataFrame:
-    rows, width = bucketed(docs, id_col, text_col, 4)
+def _round(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, trees: int, number: int, carry: str | None = None) -> DataFrame:
+    rows, width = bucketed(docs, id_col, text_col, 4, carry)
     labels = balanced_labels(width, 1)
     grouped = rows.groupBy("bucket")
     pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, trees, 7919 + number), REQUEST), width, _regions(percent, number > 0))
@@ -304,12 +305,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         placed = nodes.where("regions is not null").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.explode("regions").alias("region"), F.coalesce("component", "doc_id").alias("component"))
         torn = placed.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
-        again = written(placed.join(torn, "region", "left_semi").select("doc_id").distinct(), "again")
+        again = written(placed.join(torn, "region", "left_semi").select("doc_id", "component").distinct(), "again")
         if again.isEmpty():
             break
         number += 1
-        some = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).join(again.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").select(F.col("__id").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-        more = _round(some, "doc_id", "text", shingle, percent, trees, number)
+        texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+        more = _round(texts.join(again, "doc_id"), "doc_id", "text", shingle, percent, trees, number, "component")
         extra = more.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
         comp = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
         fresh = written(extra.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")).where("u <> v").distinct(), "links")
