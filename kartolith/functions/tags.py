@@ -16,7 +16,7 @@ POI_KEYS = ("amenity", "shop", "craft", "office", "leisure", "aeroway")
 
 def split_values(value: Column) -> Column:
     """Values of a ``;``-delimited list, trimmed; empty for null."""
-    return F.coalesce(F.transform(F.split(value, ";"), F.trim), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.split(value, ";"), lambda v: F.trim(v)), F.array().cast("array<string>"))
 
 
 def tag(tags: Column, key: str) -> Column:
