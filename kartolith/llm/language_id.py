@@ -189,15 +189,17 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     for (m,) in parts.repartition(64).mapInArrow(_add, "df binary").collect():  # 64 vectors at most
         df += np.frombuffer(m, np.int64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(1)
-    vectors: dict[str, list[np.ndarray]] = {}
-    for lang, m in found.where("cells is not null").select("lang", "cells").orderBy("lang", "cells").toLocalIterator():
-        n = len(m) // 8
-        x = np.zeros(FEATURES, np.float32)
-        x[np.frombuffer(m, np.int32, n)] = np.frombuffer(m, np.float32, n, 4 * n)
-        vectors.setdefault(lang, []).append(x)
     names, cents, limits = [], [], []
-    for lang, rows in sorted(vectors.items()):
-        x = _weigh(np.stack(rows), idf)
+    sample = found.where("cells is not null")
+    for lang in sorted(sizes):  # the driver holds one language's sample at a time
+        cells = sorted(m for (m,) in sample.where(F.col("lang") == lang).select("cells").collect())
+        if not cells:
+            continue
+        rows = np.zeros((len(cells), FEATURES), np.float32)
+        for i, m in enumerate(cells):
+            n = len(m) // 8
+            rows[i, np.frombuffer(m, np.int32, n)] = np.frombuffer(m, np.float32, n, 4 * n)
+        x = _weigh(rows, idf)
         c = spherical_kmeans(x, centroids)
         cosine = x @ c.T
         own = cosine.argmax(axis=1)
