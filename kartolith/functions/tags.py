@@ -5,6 +5,7 @@ Missing tags are false, never null: list tests are wrapped so that negation is t
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,7 +29,8 @@ def has(tags: Column, key: str) -> Column:
 
 
 def lists(tags: Column, key: str, *values: str) -> Column:
-    return F.arrays_overlap(split_values(tag(tags, key)), F.array(*map(F.lit, values)))
+    """Whether the ``;``-delimited value holds one of the values: one pattern, so code generation goes on around it."""
+    return F.coalesce(tag(tags, key).rlike(f"(^|;) *({'|'.join(map(re.escape, values))}) *(;|$)"), F.lit(False))
 
 
 def is_tagged(tags: Column) -> Column:

@@ -45,23 +45,33 @@ def with_area_delta(history: DataFrame) -> DataFrame:
     return history.withColumn("area_m2", change)
 
 
-def _sums(edits: DataFrame) -> list[Column]:
+def _flagged(edits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, one boolean a class and an action, metres and square metres: every predicate is evaluated once a row."""
     t = F.col("tags")
-    out = []
-    for n, p in LINES.items():
-        out += [F.sum(F.when(p(t) & action(a), F.col("linear_m") / 1000.0).otherwise(0.0)).alias(f"m_{n}_km_{a}") for a in ACTIONS]
-    for n, p in AREAS.items():
-        out += [F.sum(F.when(p(t) & action(a), F.col("area_m2") / 1000000.0).otherwise(0.0)).alias(f"m_{n}_km2_{a}") for a in ACTIONS]
-    for n, p in CLASSES.items():
-        out += [F.sum((p(t) & action(a)).cast("int")).alias(f"c_{n}_{a}") for a in ACTIONS]
-    return out
+    flags = {**{f"is_{n}": p(t) for n, p in CLASSES.items()}, **{f"is_{n}": p(t) for n, p in {**LINES, **AREAS}.items()}, **{f"was_{a}": action(a) for a in ACTIONS}}
+    return edits.select(*keys, "linear_m", "area_m2", *[c.alias(n) for n, c in flags.items()])
+
+
+def _sums() -> list[Column]:
+    on = lambda n, a: F.col(f"is_{n}") & F.col(f"was_{a}")
+    out = [F.sum(F.when(on(n, a), F.col("linear_m") / 1000.0).otherwise(0.0)).alias(f"m_{n}_km_{a}") for n in LINES for a in ACTIONS]
+    out += [F.sum(F.when(on(n, a), F.col("area_m2") / 1000000.0).otherwise(0.0)).alias(f"m_{n}_km2_{a}") for n in AREAS for a in ACTIONS]
+    return out + [F.count_if(on(n, a)).alias(f"c_{n}_{a}") for n in CLASSES for a in ACTIONS]
 
 
 def changeset_stats(edits: DataFrame, keys: tuple[str, ...] = ("changeset",)) -> DataFrame:
     """keys, measurements map, counts map, total_edits, edits (rows)."""
-    wide = edits.groupBy(*keys).agg(*_sums(edits), F.count("*").alias("edits"))
-    counts = maps.from_columns(COUNTS, "c_")
-    return wide.select(*keys, maps.from_columns(MEASURES, "m_").alias("measurements"), counts.alias("counts"), maps.total(counts).alias("total_edits"), "edits")
+    wide = _flagged(edits, keys).groupBy(*keys).agg(*_sums(), F.count("*").alias("edits"))
+    total = reduce(lambda a, b: a + b, (F.col(f"c_{n}") for n in COUNTS))
+    return wide.select(*keys, maps.from_columns(MEASURES, "m_").alias("measurements"), maps.from_columns(COUNTS, "c_").alias("counts"), total.alias("total_edits"), "edits")
+
+
+def long_counts(edits: DataFrame, keys: tuple[str, ...] = ("changeset",), measures: bool = False) -> DataFrame:
+    """keys, key, value: the entries of the counts (or measurements) without building maps."""
+    names, prefix = (MEASURES, "m_") if measures else (COUNTS, "c_")
+    wide = _flagged(edits, keys).groupBy(*keys).agg(*_sums())
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"{prefix}{n}").alias("value")) for n in names])
+    return wide.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.key", "e.value").where("value <> 0")
 
 
 def long_form(stats: DataFrame, column: str, keys: tuple[str, ...] = ("changeset",)) -> DataFrame:

@@ -100,12 +100,12 @@ def tag_predicates(spark, sf):
 
 @query(f"WITH {fx.EDITS} SELECT changeset, key, count(*) AS value FROM ({_COUNT_ROWS}) GROUP BY ALL")
 def changeset_counts(spark, sf):
-    return stats.long_form(stats.changeset_stats(fx.edits(spark, sf)), "counts")
+    return stats.long_counts(fx.edits(spark, sf))
 
 
 @query(f"WITH {fx.EDITS} SELECT changeset, key, round(sum(v), 3) AS value FROM ({_MEASURE_ROWS}) GROUP BY ALL HAVING sum(v) <> 0")
 def changeset_measurements(spark, sf):
-    return stats.long_form(stats.changeset_stats(fx.edits(spark, sf)), "measurements").withColumn("value", F.round("value", 3))
+    return stats.long_counts(fx.edits(spark, sf), measures=True).withColumn("value", F.round("value", 3))
 
 
 @query(f"WITH {fx.EDITS}, n AS (SELECT changeset, count(*) AS n FROM ({_COUNT_ROWS}) GROUP BY ALL) SELECT changeset, coalesce(any_value(n), 0) AS total_edits, count(*) AS edits FROM e LEFT JOIN n USING (changeset) GROUP BY changeset")
