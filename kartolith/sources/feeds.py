@@ -7,9 +7,10 @@ end_sequence (exclusive), batch_size (sequences a micro-batch), partitions.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileSystem
+
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -21,17 +22,25 @@ class _Range(InputPartition):
         self.start, self.end = start, end
 
 
+def _place(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
+
 def available(path: str) -> list[int]:
-    return sorted(int(n[:-5]) for n in os.listdir(path) if n.endswith(".json") and n[:-5].isdigit())
+    files, folder = _place(path)
+    names = (x.base_name for x in files.get_file_info(FileSelector(folder, allow_not_found=True)))
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
 def _rows(path: str, part: _Range, names: list[str]) -> Iterator[tuple]:
+    files, folder = _place(path)
     for sequence in available(path):
         if part.start <= sequence < part.end:
-            with open(f"{path}/{sequence}.json") as f:
-                for line in f:
-                    row = json.loads(line)
-                    yield tuple(sequence if n == "sequence" else row.get(n) for n in names)
+            with files.open_input_stream(f"{folder}/{sequence}.json") as f:
+                for line in f.read().decode().split("\n"):
+                    if line.strip():
+                        row = json.loads(line)
+                        yield tuple(sequence if n == "sequence" else row.get(n) for n in names)
 
 
 class _Common:

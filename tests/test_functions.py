@@ -53,8 +53,8 @@ def test_maps(spark):
 
 
 def test_text(spark):
-    df = spark.createDataFrame([("Fix #HOT-osm #b_1;#b_1 #é",), (None,), ("none",)], "t string")
-    assert [r[0] for r in df.select(text.hashtags(F.col("t"))).collect()][0][:2] == ["hot-osm", "b_1"]
+    df = spark.createDataFrame([("Fix #HOT-map #b_1;#b_1 #é",), (None,), ("none",)], "t string")
+    assert [r[0] for r in df.select(text.hashtags(F.col("t"))).collect()][0][:2] == ["hot-map", "b_1"]
     assert [r[0] for r in df.select(text.hashtags(F.col("t"))).collect()][1:] == [[], []]
     one = spark.range(1)
     assert one.select(text.add_author(F.lit("a,b"), F.lit("a")), text.add_author(F.lit(None).cast("string"), F.lit("c")), text.facet_of(F.lit("2020001:poi")), text.facet_of(F.lit("x")), text.base_key(F.lit("k:f")), text.is_hidden(F.lit("__id")), text.element_key(F.lit("way"), F.lit(7)), text.tile_path(F.lit(3), F.lit(1), F.lit(2), F.lit("a b")), text.strip_separator(F.lit("\u001e{}"))).first()[:] == ("a,b", "c", "poi", None, "k", True, "w7", "a+b/3/1/2.mvt", "{}")
