@@ -42,3 +42,10 @@ def lookup(points: DataFrame, countries: DataFrame, size: float = 10.0) -> DataF
 def geocode(rows: DataFrame, key: str, countries: DataFrame, size: float = 10.0) -> DataFrame:
     """(key, countries): sorted distinct codes of all vertices of a row."""
     return lookup(rows, countries, size).groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("countries"))
+
+
+def within_clip(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Points (lon, lat) inside one ring: bounds first, so the scan can skip, then the exact test."""
+    xs, ys = [x for x, _ in ring], [y for _, y in ring]
+    shape = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    return points.where(F.col("lon").between(min(xs), max(xs)) & F.col("lat").between(min(ys), max(ys))).where(inside(F.col("lon"), F.col("lat"), shape))

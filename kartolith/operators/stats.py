@@ -89,6 +89,20 @@ def merge_stats(left: DataFrame, right: DataFrame, key: str = "changeset") -> Da
     )
 
 
+def facet_flags(edits: DataFrame, streaming: bool = False) -> DataFrame:
+    """edits with nine 0/1 facets. A creation is a new element in batch, a first version with geometry in a stream.
+
+    Columns: tags, version, minor_version, visible, geometry_changed.
+    """
+    t = F.col("tags")
+    created = (F.col("version") == 1) & F.col("geometry_changed") if streaming else tags.is_new(F.col("version"), F.col("minor_version"))
+    flags = {
+        "building": tags.is_building(t), "road": tags.is_road(t), "waterway": tags.is_waterway(t), "poi": tags.is_poi(t), "coastline": tags.is_coastline(t),
+        "created": created & F.col("visible"), "modified": ~created & F.col("visible"), "deleted": ~F.col("visible"), "metadata_only": ~F.col("geometry_changed"),
+    }
+    return edits.withColumns({n: F.coalesce(c, F.lit(False)).cast("int") for n, c in flags.items()})
+
+
 def country_counts(edits: DataFrame, keys: tuple[str, ...] = ("changeset",)) -> DataFrame:
     """keys, country, edit_count: one row per country an edit touches."""
     return edits.groupBy(*keys, "country").agg(F.count("*").alias("edit_count"))

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENT = 4096
@@ -153,3 +154,27 @@ def export(tiles: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "zxy"), pa.array(sizes, pa.int64())], names=["z", "x", "y", "size"])
 
     return tiles.mapInArrow(run, "z int, x long, y long, size long")
+
+
+_READ = "z int, x long, y long, layer string, id long, px int, py int, properties map<string,string>"
+_READ_PA = pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("layer", pa.string()), ("id", pa.int64()), ("px", pa.int32()), ("py", pa.int32()), ("properties", pa.map_(pa.string(), pa.string()))])
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            z, x, y = path.removesuffix(".mvt").split("/")[-3:]
+            for name, features in decode(raw).items():
+                rows += [(int(z), int(x), int(y), name, i, px, py, [(k, str(v)) for k, v in p.items()]) for i, px, py, p in features]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ_PA)], schema=_READ_PA)
+
+
+def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Point features of folder/z/x/y.mvt: z, x, y, layer, id, px, py, properties; a missing folder has none."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.mvt").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], _READ)
+    return found.select("path", "content").mapInArrow(_decode, _READ)

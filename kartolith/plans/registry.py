@@ -555,6 +555,38 @@ def building_similarity(spark, sf):
     return pairs.select("a_id", "b_id", matching.similarity(ring("a"), ring("b")).alias("s")).select("a_id", "b_id", "s.*")
 
 
+@query(f"WITH {fx.EDITS} SELECT CAST(sum(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END) AS BIGINT) AS road, CAST(sum(CASE WHEN p_type = 'MEDIUM' THEN 1 ELSE 0 END) AS BIGINT) AS coastline, count(*) FILTER (version = 1 AND minor_version = 0 AND visible) AS created, count(*) FILTER (NOT (version = 1 AND minor_version = 0) AND visible) AS modified, count(*) FILTER (NOT visible) AS deleted, count(*) FILTER (l_linenumber % 2 = 0) AS metadata_only FROM e")
+def facet_flags(spark, sf):
+    flagged = stats.facet_flags(fx.edits(spark, sf).withColumn("geometry_changed", F.col("l_linenumber") % 2 != 0))
+    return flagged.agg(*[F.sum(c).cast("long").alias(c) for c in ("road", "coastline", "created", "modified", "deleted", "metadata_only")])
+
+
+@query(f"WITH {fx.POINTS} SELECT event_id FROM p WHERE lon BETWEEN -30.005 AND 44.995 AND lat BETWEEN -20.005 AND 50.005")
+def spatial_clip(spark, sf):
+    return countries.within_clip(fx.points(spark, sf), [(-30.005, -20.005), (44.995, -20.005), (44.995, 50.005), (-30.005, 50.005)]).select("event_id")
+
+
+@query(f"WITH {fx.POINTS}, b AS (SELECT event_id, {_x(4)} AS x0, least({_x(4, '(lon + 30)')}, 15) AS x1, {_y(4)} AS y FROM p) SELECT event_id, unnest(range(x0, x1 + 1)) AS x, y FROM b WHERE y BETWEEN 0 AND 15")
+def tile_cover(spark, sf):
+    p = fx.points(spark, sf).where(geo.tile_y(F.col("lat"), 4).between(0, 15))
+    boxes = p.select("event_id", F.col("lon").alias("west"), (F.col("lon") + 30).alias("east"), F.col("lat").alias("south"), F.col("lat").alias("north"))
+    return matching.tile_cover(boxes, 4).select("event_id", "x", "y")
+
+
+@query(f"WITH {fx.POINTS}, {_pyramid_sql('key', 'SELECT * FROM p', GRID, zooms='[3]')} SELECT z, x, y, cell, count(*) AS keys, CAST(sum(value) AS BIGINT) AS total FROM pyramid GROUP BY ALL")
+def vectorize(spark, sf):
+    features = tiles.vectorize(footprints.edit_histogram(fx.points(spark, sf), zooms=[3]))
+    return features.select("z", "x", "y", "cell", F.size("values").cast("long").alias("keys"), maps.total(F.col("values")).alias("total"))
+
+
+@query()
+def building_matching(spark, sf):
+    r = fx.boxes(spark, sf)
+    at = lambda dx, dy: F.struct((F.col("x") + dx * F.col("w")).alias("x"), (F.col("y") + dy * F.col("h")).alias("y"))
+    rings = r.select("id", "side", F.array(*[at(*d) for d in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"))
+    return matching.match_buildings(matching.buildings(rings.where("side = 0")), matching.buildings(rings.where("side = 1")), 0.05, 0.3)
+
+
 # Streams
 
 

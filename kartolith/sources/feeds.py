@@ -92,6 +92,14 @@ class _Stream(_Common, DataSourceStreamReader):
         return self.split(start["sequence"], end["sequence"])
 
 
+def bounds(path: str, start: int | None = None, end: int | None = None, saved: int | None = None) -> tuple[int, int]:
+    """[start, end) of a run: an explicit start, else after the saved checkpoint, else the feed's last; the end is inclusive as given."""
+    have = available(path)
+    current = have[-1] if have else 0
+    first = start if start is not None else saved + 1 if saved is not None else current
+    return first, (end if end is not None else current) + 1
+
+
 class SequenceFeed(DataSource):
     @classmethod
     def name(cls) -> str:

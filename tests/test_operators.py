@@ -190,3 +190,16 @@ def test_pairs_and_scores(spark):
     assert tuple(matching.best_matches(df, "k", "m", "p").first()) == (1, 4, 0.5, 3)
     one = spark.range(1).select(matching.relative_similarity(F.lit(0.0), F.lit(0.0), F.lit(0.0)), matching.relative_similarity(F.lit(1.0), F.lit(2.0), F.lit(0.0)), matching.display_number(F.lit("right"), F.lit(0.25)))
     assert tuple(one.first()) == (0.0, 0.5, 1.75)
+
+
+def test_building_pipeline(spark):
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    schema = "id long, tags map<string,string>, ring array<struct<x:double,y:double>>"
+    left = matching.buildings(spark.createDataFrame([(1, {"building": "yes"}, ring(0.0, 0.0, 0.01)), (2, {"building": "yes"}, ring(1.0, 1.0, 0.01)), (3, {"a": "b"}, ring(0.0, 0.0, 0.01)), (4, None, ring(0.0, 0.0, 0.01))], schema))
+    right = matching.buildings(spark.createDataFrame([(11, {"building": "x"}, ring(0.0, 0.0, 0.01)), (12, {"building": "x"}, ring(0.001, 0.0, 0.01)), (13, {"building": "x"}, ring(5.0, 5.0, 0.01))], schema))
+    got = {r.id: (r.side, r.best, round(r.probability, 6), r.matches) for r in matching.match_buildings(left, right).collect()}
+    assert got == {1: (0, 11, 1.0, 2), 2: (0, None, 0.0, 0), 11: (1, 1, 1.0, 1), 12: (1, 1, 0.9, 1), 13: (1, None, 0.0, 0)}
+    shares = matching.normalise_support(spark.createDataFrame([("c", 2.0), ("c", 4.0), ("d", 0.0)], "cell string, n double"), "cell", "n")
+    assert sorted(map(tuple, shares.collect())) == [("c", 0.5), ("c", 1.0), ("d", 0.0)]
+    boxes = spark.createDataFrame([(0.1, 0.1, 0.2, 0.2)], "x0 double, y0 double, x1 double, y1 double")
+    assert matching.quad_partition(boxes, 4, 2).first().quad == "00"

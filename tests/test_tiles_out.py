@@ -22,3 +22,12 @@ def test_commands(spark, tmp_path):
     cli.main(["elements", "--input", f"{tmp_path}/v", "--output", f"{tmp_path}/s", "--schema", "history"], spark)
     assert spark.read.parquet(f"{tmp_path}/s").first().valid_until is None
     assert tiles.Grid(3, 8).bits == 3
+
+
+def test_read_back(spark, tmp_path):
+    points = spark.createDataFrame([(2020001, 1.0, 2.0), (2020002, -50.0, 20.0)], "key int, lon double, lat double")
+    cells = footprints.edit_histogram(points, zooms=[0, 5])
+    vector_tiles.export(vector_tiles.encode_tiles(tiles.vectorize(cells), "edits", 7), str(tmp_path / "t")).collect()
+    got = vector_tiles.read_tiles(spark, str(tmp_path / "t")).collect()
+    assert sorted((r.z, r.x, r.y, r.id) for r in got) == sorted((r.z, r.x, r.y, r.cell) for r in cells.collect())
+    assert vector_tiles.read_tiles(spark, str(tmp_path / "none")).count() == 0
