@@ -32,5 +32,7 @@ ORACLE_SQL = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op3_decontamination": oracles.DECONTAMINATION,
     "op6_line_dedup": oracles.LINE_DEDUP,
+    "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op9_warc_fixity": oracles.WARC_FIXITY,
+    "op10_near_dedup": oracles.NEAR_DEDUP,
 }
