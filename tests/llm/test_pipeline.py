@@ -32,7 +32,7 @@ def test_language_keeps_text(stages):
 
 
 def test_lines(stages):
-    from test_operators import LOW, WS
+    from test_corpus_operators import LOW, WS
 
     before, after = stages[1]
     held: dict[str, set[int]] = {}
@@ -49,7 +49,7 @@ def test_lines(stages):
 
 
 def test_near(stages):
-    from test_operators import brute_components
+    from test_corpus_operators import brute_components
 
     before, after = stages[2]
     want, _ = brute_components([(r.doc_id, r.text) for r in before.collect()])
