@@ -8,10 +8,12 @@ The forest has ``trees`` orders of one signature, each sorted by its own rotatio
 agree on the first ``DEPTH`` values of an order are one region.  Small regions are compared in full.  Dense
 ones are adapted: each document meets the first of its region and of every deeper prefix it shares.
 Where a dense region still holds several components, its documents go through another round with new hash
-functions and new leaders, across components only, until a round joins nothing more.  Every link is confirmed on full sets.
+functions and new leaders, across components only, until a round joins nothing more.  Dense regions that hold several
+components even then are compared in full, in blocks of documents, so no document of a region goes uncompared with another
+component's.  Every link is confirmed on full sets.
 
 All exchanges are packed (see ``_common``): texts move once a round, a leader's set moves once per bucket
-of documents that it meets, and no region's sets meet in one task.
+of documents that it meets, and no region's sets meet in one task; the full comparison sends a set once a pair of blocks.
 
 Null, empty and white-space texts: empty set, linked with nothing.  Fewer words than a shingle: the whole
 sequence is the one shingle.  Null id: the smallest; repeated ids are one node, so their rows stay or
@@ -20,16 +22,19 @@ go together.  Empty table: empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import DATA, MEMO, NULL_ID, REQUEST, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, reduce_parts, replies_table, requests_table, written
+from ._common import DATA, MEMO, NULL_ID, REQUEST, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, reduce_parts, replies_table, requests_table, string_array, utf8, written
 from ._hashing import BASE2, LOWER, mix, prefix, spans, windows, within, word_hashes, word_spans
 from .substring_dedup import _slices
 
 DEPTH, DEEP, SMALL = 4, 4, 8
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _NODE = "doc_id long, n_shingles long, d1 long, d2 long, links array<long>, regions array<long>"
 _NODE_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64()))])
 
@@ -289,6 +294,65 @@ def _round(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     return written(grouped.cogroup(sets.groupBy("part")).applyInArrow(_confirm(shingle, percent), _NODE), "nodes")
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sh, so = shingle_sets(*utf8(batch.column("text")), size)
+            sets = string_array(sh.view(np.uint8), 8 * so, binary=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
+
+    return run
+
+
+def shared_counts(sh: np.ndarray, so: np.ndarray, first: np.ndarray, second: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Common shingles of each of the sets ``first`` with each of ``second``."""
+    values, column, times = np.unique(sh, return_inverse=True, return_counts=True)
+    held = times > 1  # in one set only: common to none
+    column = np.where(held, np.cumsum(held) - 1, -1)[column]
+    row = np.repeat(np.arange(len(so) - 1), np.diff(so))[column >= 0]
+    column = column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out = np.zeros((len(first), len(second)), np.float32)
+    for a in range(0, int(held.sum()), width):
+        i, j = np.searchsorted(column, [a, a + width])
+        x = np.zeros((len(so) - 1, width), np.float32)
+        x[row[i:j], column[i:j] - a] = 1
+        out += x[first] @ x[second].T
+    return out.astype(np.int64)
+
+
+def _compare(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        slot, comp = table.column("slot").to_numpy(), table.column("component").to_numpy()
+        raw, off = utf8(table.column("shingles"))
+        sh, so = np.frombuffer(raw.tobytes(), np.uint64), off // 8
+        n = np.diff(so)
+        first, second = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+        both = shared_counts(sh, so, first, second)
+        ok = (100 * both >= percent * (n[first][:, None] + n[second][None, :] - both)) & (both > 0) & (comp[first][:, None] != comp[second][None, :])
+        a, x = np.nonzero(ok)
+        links = np.unique(np.stack([comp[first[a]], comp[second[x]]], axis=1), axis=0)
+        return pa.table({"u": pa.array(links[:, 0], pa.int64()), "v": pa.array(links[:, 1], pa.int64())})
+
+    return run
+
+
+def settle(texts: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between the components of every region, all documents of different components compared on full sets.
+
+    texts: doc_id, text.  placed: region, doc_id, n_shingles, component.  Large regions are cut into blocks that meet in pairs.
+    """
+    sets = written(texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = placed.groupBy("region").agg(parts.alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    slots = placed.join(blocks, "region").withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")).select("region", "doc_id", "component", "slot", other)
+    meet = slots.select("region", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "component")
+    return meet.join(sets, "doc_id").groupBy("region", "i", "j").applyInArrow(_compare(percent), "u long, v long").where("u <> v").distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 70, trees: int = 32) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_links, component_id, kept.
 
@@ -301,22 +365,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = full.join(same, ["d1", "d2", "n_shingles"]).select("u", F.col("doc_id").alias("v"))
     edges = copies.union(nodes.select(F.col("doc_id").alias("u"), F.explode("links").alias("v")))
     found = written(components(edges), "components")
+    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     number = 0
     while True:
-        placed = nodes.where("regions is not null").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.explode("regions").alias("region"), F.coalesce("component", "doc_id").alias("component"))
+        placed = nodes.where("regions is not null").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.explode("regions").alias("region"), F.coalesce("component", "doc_id").alias("component"))
         torn = placed.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
         again = written(placed.join(torn, "region", "left_semi").select("doc_id", "component").distinct(), "again")
         if again.isEmpty():
             break
         number += 1
-        texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
         more = _round(texts.join(again, "doc_id"), "doc_id", "text", shingle, percent, trees, number, "component")
         extra = more.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
         comp = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
         fresh = written(extra.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")).where("u <> v").distinct(), "links")
-        if fresh.isEmpty():
-            break
+        settled = fresh.isEmpty()
+        if settled:  # leaders find no more: the regions still torn in full
+            fresh = written(settle(texts, placed.join(torn, "region", "left_semi"), shingle, percent), "links")
+            if fresh.isEmpty():
+                break
         found = written(components(fresh.union(found.select(F.col("id").alias("u"), F.col("component").alias("v")))), "components")
+        if settled:
+            break
     out = nodes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id",
         "n_shingles",

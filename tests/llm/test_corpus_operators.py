@@ -183,6 +183,21 @@ def test_near_dense_family(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_links_between_followers(spark):
+    """A dense family just below the threshold, with pairs just above it that leaders and neighbours leave out."""
+    from kartolith.llm.near_dedup import shared_counts
+
+    core = " ".join(f"c{k}" for k in range(392))
+    own = lambda i, n: " ".join(f"u{i}x{k}" for k in range(n))
+    pairs = {70 + i: 31 + i for i in range(0, 30, 7)}
+    texts = [(i, f"{core} {own(pairs.get(i, i), 5)} {own(-i - 1, 7)}") for i in range(120)]  # 388 of 412 shingles are common, 393 of 407 in pairs
+    got = near_dedup(spark.createDataFrame(texts, "doc_id long, text string"), percent=95, trees=4).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id != r.component_id} == pairs
+    sets = [[1, 2, 3, 9], [2, 3], [], [3, 9, 11]]
+    counts = shared_counts(np.array(sum(sets, []), np.uint64), np.cumsum([0, *map(len, sets)]), np.array([0, 2]), np.array([1, 2, 3]), 2)
+    assert counts.tolist() == [[len(set(sets[i]) & set(sets[j])) for j in (1, 2, 3)] for i in (0, 2)]
+
+
 def test_components(spark):
     import random
 
