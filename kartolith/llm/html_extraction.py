@@ -4,7 +4,8 @@ A page is read once by a tolerant tokeniser into its tree of block elements.  Ev
 characters per tag, adjusted for characters and tags in links; the densities of a node's children are
 summed, the node with the greatest sum is the core, and the least density on the path from it to the body
 is the threshold above which other subtrees hold content, too.  A core inside an ``article`` or ``main``
-stands for the whole of it, so headings beside the densest part stay.
+stands for the whole of it, so headings beside the densest part stay.  Densities grow with the tags of a
+subtree, so on pages without these elements what lies beside the core stays unless most of it is links.
 
 Never content, whatever their density: scripts, styles, navigation, footers, asides, forms, page headers
 (a header inside an article stays), hidden elements, and elements whose role, class or id names a menu, advert,
@@ -229,14 +230,18 @@ class _Page:
                 if not any(chosen[i : self.ends[i]]):
                     self._mark(chosen, core)
                 i += 1
-        if best == top:  # no element holds the text together: all but what is mostly links
+        if best == top or not {"article", "main"} & set(self.tags):  # no element marks the text: all but what is mostly links
+            core = range(best, self.ends[best]) if best != top else range(0)
             chosen[top] = True
             i = top + 1
             while i < n:
-                if chars[i] and 2 * links[i] > chars[i]:
+                if i in core:
+                    i = core.stop
+                elif chars[i] and 2 * links[i] > chars[i] and not i < best < self.ends[i]:
                     chosen[i : self.ends[i]] = [False] * (self.ends[i] - i)
                     i = self.ends[i]
                 else:
+                    chosen[i] = True
                     i += 1
         return [t for node, t in self.blocks if chosen[node]]
 

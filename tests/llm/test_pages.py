@@ -38,6 +38,13 @@ def test_pages_without_article_elements():
     assert main_text(f"<body>{menu}<div><div>{body}</div></div>{menu}</body>") == "\n".join((SENTENCE * n).strip() for n in (3, 1, 2))
 
 
+def test_text_beside_the_core():
+    long, menu = (SENTENCE * 4).strip(), "<div>" + "".join(f"<a href=/{i}>Link number {i}</a> " for i in range(30)) + "</div>"
+    body = f"<h1>A heading of few words</h1><p>{long}</p><div>{f'<p>{long}</p>' * 5}</div><section><p>Short.</p><p>Also short.</p></section>"
+    for around in ("<body>{}</body>", f"<body>{menu}{{}}{menu}</body>"):
+        assert main_text(around.format(body)) == "\n".join(["A heading of few words", *[long] * 6, "Short.", "Also short."])
+
+
 def test_fuzz_never_fails():
     rng = random.Random(3)
     bits = ["<p>", "</p>", "<div class='a", "'>", "<", ">", "&amp", "&#x;", "<!--", "-->", "<script>", "</script>", "</", "text ", "<li>", "<td>", "<table>", "\x00", '"', "=", "<a href=x>", "</a>", "<body>", "<article>", "</article>", "é", "<br/>", "<!doctype>", "<nav>"]
