@@ -9,7 +9,8 @@ subtree, so on pages without these elements what lies beside the core stays unle
 
 Never content, whatever their density: scripts, styles, navigation, footers, asides, forms, page headers
 (a header inside an article stays), hidden elements, and elements whose role, class or id names a menu, advert,
-notice, share bar, sidebar or reader comments.
+notice, share bar, sidebar or reader comments.  A class or id counts as a whole or by its first or last part; where
+only a part speaks, or for a form, the element stays if it holds most of the page's text.
 
 Pages are independent rows: one map step, no shuffle.  Null or empty html: empty text.  Pages without
 elements: their text.  Null identifiers pass through, repeated rows are each extracted.  Empty table:
@@ -46,10 +47,26 @@ _ANYWAY = frozenset(("html", "body", "main"))
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 _ENDS |= {t: (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)) for t in ("thead", "tbody", "tfoot")}
+_IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+_QUALIFIERS = frozenset("has have no not non with without is".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(words: list[str], part: bool) -> bool:
+    """Whether a class or id is an unwanted name as a whole, or (part) its first or last part is one."""
+    for w in words:
+        parts = [p for p in _SPLIT.split(w) if p]
+        if len(parts) == 1 and parts[0] in _NAMES:
+            return True
+        if part and len(parts) > 1 and not _QUALIFIERS & set(parts) and (parts[0] in _NAMES or parts[-1] in _NAMES):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool, most: bool = False) -> bool:
+    """most: the element is known to hold most of the page's text."""
+    if tag == "form" and most:
+        return False
     if tag in _NEVER or tag == "header" and not in_article:
         return True
     if not attributes or attributes.isspace():
@@ -68,7 +85,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
                 words = value.split()
                 if tag == "article":
                     words = [w for w in words if _SPLIT.split(w)[0] in ("comment", "comments", "ad", "advert", "sponsored", "promo")]
-                if any(p in _NAMES for w in words for p in _SPLIT.split(w)):
+                if _named(words, tag not in _INLINE and not most):
                     return True
     return False
 
@@ -77,16 +94,24 @@ class _Page:
     """Block elements in document order (a subtree is a range), and the blocks of text with their nodes."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.ends = ["#page"], [-1], [0]
-        self.chars, self.links, self.link_tags = [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
-        self._read(html)
+        most: set[int] = set()  # places of elements that would go, but hold most of the text
+        while True:
+            self.tags, self.parents, self.ends = ["#page"], [-1], [0]
+            self.chars, self.links, self.link_tags = [0], [0], [0]
+            self.blocks: list[tuple[int, str]] = []
+            more = self._read(html, most)
+            if more is None or {"article", "main"} & set(self.tags):
+                break
+            most.add(more)
         self.ends[0] = len(self.tags)
 
-    def _read(self, html: str) -> None:
+    def _read(self, html: str, most: set[int]) -> int | None:
+        """Fills the lists; returns the place of a dropped element that holds most of the text and may stay."""
         stack, open_tags = [0], ["#page"]  # a node is -1 where the subtree is dropped
         pieces: list[str] = []
         link, articles, at, size = 0, 0, 0, len(html)
+        seen, doubt, outer = 0, (0, 0, 0), (0, 0)  # characters so far; the greatest doubtful subtree; the open one's place and start
+        deep = 0
         tags, parents, ends, chars, links, link_tags = self.tags, self.parents, self.ends, self.chars, self.links, self.link_tags
 
         def flush() -> None:
@@ -99,8 +124,10 @@ class _Page:
                     self.blocks.append((node, text))
 
         def close(depth: int) -> None:
-            nonlocal articles
+            nonlocal articles, doubt, deep
             flush()
+            if deep and depth <= deep:
+                doubt, deep = max(doubt, (seen - outer[1], outer[0], 1)), 0
             while len(stack) > depth:
                 node, tag = stack.pop(), open_tags.pop()
                 if tag in ("article", "main"):
@@ -111,6 +138,10 @@ class _Page:
         while at < size:
             m = _TOKEN.search(html, at)
             start = m.start() if m else size
+            if start > at and open_tags[-1] == "head" and not html[at:start].isspace():
+                close(len(open_tags) - 1)
+            if start > at:
+                seen += len("".join(html[at:start].split()))
             if start > at and stack[-1] >= 0:
                 text = html[at:start]
                 if "&" in text:
@@ -134,6 +165,8 @@ class _Page:
                 elif tag in open_tags:
                     close(len(open_tags) - 1 - open_tags[::-1].index(tag))
                 continue
+            if open_tags[-1] == "head" and tag not in _IN_HEAD:
+                close(len(open_tags) - 1)
             if tag in _RAW:
                 end = _RAW[tag].search(html, at)
                 at = end.start() if end else size
@@ -144,8 +177,8 @@ class _Page:
                 elif tag in ("br", "wbr") and stack[-1] >= 0:
                     pieces.append(" " if tag == "br" else "")
                 continue
-            dropped = stack[-1] < 0 or _unwanted(tag, m[3], articles > 0)
-            if tag in _INLINE and not (dropped and stack[-1] >= 0):
+            dropped = stack[-1] < 0 or _unwanted(tag, m[3], articles > 0, start in most)
+            if tag in _INLINE and not (dropped and stack[-1] >= 0 and "pre" not in open_tags):
                 if tag == "a":
                     link = 1
                     if stack[-1] >= 0:
@@ -168,7 +201,7 @@ class _Page:
                     if open_tags[depth] in own:
                         close(depth)
                 if stack[-1] >= 0:
-                    dropped = _unwanted(tag, m[3], articles > 0)
+                    dropped = _unwanted(tag, m[3], articles > 0, start in most)
             if tag == "body" and "head" in open_tags:
                 close(open_tags.index("head"))
                 dropped = False
@@ -176,6 +209,8 @@ class _Page:
             articles += tag in ("article", "main")
             open_tags.append(tag)
             if dropped:
+                if stack[-1] >= 0 and not _unwanted(tag, m[3], articles > 0, True):
+                    outer, deep = (start, seen), len(stack)
                 stack.append(-1)
             else:
                 stack.append(len(tags))
@@ -185,6 +220,7 @@ class _Page:
                     c.append(0)
         close(1)
         flush()
+        return doubt[1] if doubt[2] and 2 * doubt[0] > seen else None
 
     def content(self) -> list[str]:
         """The blocks of the chosen subtrees in page order."""

@@ -45,6 +45,20 @@ def test_text_beside_the_core():
         assert main_text(around.format(body)) == "\n".join(["A heading of few words", *[long] * 6, "Short.", "Also short."])
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post-with-comments", "share-enabled", "social-sciences"])
+def test_names_that_only_hold_an_unwanted_part(name):
+    text = (SENTENCE * 3).strip()
+    page = f"<body><div class='{name}'><p>{text}</p><p>{text}</p><div class='site-footer'>Imprint</div></div><div class='ad-banner'><p>Buy now.</p></div></body>"
+    assert main_text(page) == f"{text}\n{text}"
+
+
+def test_wrapping_form_open_head_and_code():
+    text = (SENTENCE * 3).strip()
+    assert main_text(f"<body><form action=x><div><p>{text}</p></div></form><form><p>Your mail</p></form></body>") == text
+    assert main_text(f"<head><title>t</title><p>{text}") == text and main_text(f"<head><title>t</title>{text}") == text
+    assert main_text(f"<article><p>{text}</p><pre>x = 1 <span class='hljs-comment'># one</span> <span class='comment'># two</span></pre></article>") == f"{text}\nx = 1 # one # two"
+
+
 def test_fuzz_never_fails():
     rng = random.Random(3)
     bits = ["<p>", "</p>", "<div class='a", "'>", "<", ">", "&amp", "&#x;", "<!--", "-->", "<script>", "</script>", "</", "text ", "<li>", "<td>", "<table>", "\x00", '"', "=", "<a href=x>", "</a>", "<body>", "<article>", "</article>", "é", "<br/>", "<!doctype>", "<nav>"]
