@@ -15,7 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
@@ -49,32 +49,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _spark_hash_int(v: np.ndarray) -> np.ndarray:
-    """Spark's Murmur3 of a 32-bit int with seed 42, the hash behind repartition(n, col)."""
-    u = lambda x: np.uint32(x)
-    rotl = lambda x, r: (x << u(r)) | (x >> u(32 - r))
-    with np.errstate(over="ignore"):
-        k = rotl(v.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
-        h = rotl(u(42) ^ k, 13) * u(5) + u(0xE6546B64)
-        h = h ^ u(4)
-        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
-        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
-        h = h ^ (h >> u(16))
-    return h.view(np.int32)
+_C1, _C2, _C3, _C4, _C5 = (pow(c, -1, 2**32) for c in (0xCC9E2D51, 0x1B873593, 5, 0x85EBCA6B, 0xC2B2AE35))
+_ADD, _SEED = 0xE6546B64, 42
+
+
+def _turn(h, mul, xor, shr, rotr, minus):
+    """The int whose Spark hash (Murmur3 of 4 bytes, seed 42) is h: every step of the hash undone, by the given 32-bit operations."""
+    h = xor(h, shr(h, 16))
+    h = mul(h, _C5)
+    h = xor(xor(h, shr(h, 13)), shr(h, 26))
+    h = mul(h, _C4)
+    h = xor(h, shr(h, 16))
+    h = mul(minus(xor(h, 4), _ADD), _C3)
+    h = mul(xor(rotr(h, 13), _SEED), _C2)
+    return mul(rotr(h, 15), _C1)
 
 
 def balanced_labels(width: int, each: int) -> np.ndarray:
-    """width * each int labels of which repartition(width, label) puts exactly ``each`` in every partition."""
-    found: list[list[int]] = [[] for _ in range(width)]
-    left, at = width, 0
-    while left:
-        block = np.arange(at, at + max(1024, width * each), dtype=np.int32)
-        at += len(block)
-        for label, p in zip(block.tolist(), (_spark_hash_int(block) % np.int32(width)).tolist()):
-            if len(found[p]) < each:
-                found[p].append(label)
-                left -= len(found[p]) == each
-    return np.array([found[i % width][i // width] for i in range(width * each)], dtype=np.int32)
+    """width * each int labels; repartition(width, label) puts label i in partition i % width."""
+    u = np.uint64
+    low = u(0xFFFFFFFF)
+    out = _turn(
+        np.arange(width * each, dtype=u),
+        lambda x, m: (x * u(m)) & low, lambda x, y: x ^ (u(y) if isinstance(y, int) else y), lambda x, n: x >> u(n),
+        lambda x, n: ((x >> u(n)) | (x << u(32 - n))) & low, lambda x, m: (x - u(m)) & low,
+    )
+    return out.astype(np.uint32).view(np.int32)
+
+
+def label_of(slot: Column) -> Column:
+    """``balanced_labels`` as an expression, for slots of any number."""
+    low = F.lit(0xFFFFFFFF)
+    lit = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x
+    mul = lambda x, m: (x * lit(m & 0xFFFF) + F.shiftleft((x * lit(m >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(low)
+    rotr = lambda x, n: F.shiftright(x, n).bitwiseOR(F.shiftleft(x, 32 - n)).bitwiseAND(low)
+    v = _turn(slot.cast("long"), mul, lambda x, y: x.bitwiseXOR(lit(y)), F.shiftright, rotr, lambda x, m: (x + lit(2**32 - m)).bitwiseAND(low))
+    return F.when(v >= 2**31, v - 2**32).otherwise(v).cast("int")
+
+
+def dealt(width: int, each: int, *by: Column | str) -> Column:
+    """One of width * each labels by hash; every partition of repartition(width, label) gets exactly ``each`` of them."""
+    return label_of(F.pmod(F.xxhash64(*by), F.lit(width * each)))
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int, carry: str | None = None) -> tuple[DataFrame, int]:
@@ -82,20 +97,19 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int, carry: str
 
     carry: a column that travels along as ``carried``.
 
-    All later steps of one query start from this frame, whose exchange Spark reuses, so texts move once.
+    Rows of one identifier share a bucket, but rows without one are spread by text and input partition.  All later steps
+    of one query start from this frame, whose exchange Spark reuses, so texts move once.
     """
     width = shuffle_width(docs.sparkSession)
-    labels = balanced_labels(width, each)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(labels))).cast("int")
-    if len(labels) <= 8192:
-        slot = F.element_at(F.array(*[F.lit(int(x)) for x in labels]), slot + 1)
+    spread = F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text", F.spark_partition_id())).otherwise(F.lit(0))
     return (
         docs.select(
             F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
             F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
             *([F.col(f"`{carry}`").alias("carried")] if carry else []),
         )
-        .select(slot.alias("bucket"), "doc_id", "text", *(["carried"] if carry else []))
+        .select(F.pmod(F.xxhash64("doc_id", spread), F.lit(width * each)).alias("slot"), "doc_id", "text", *(["carried"] if carry else []))
+        .select(label_of(F.col("slot")).alias("bucket"), "doc_id", "text", *(["carried"] if carry else []))
         .repartition(width, "bucket"),
         width,
     )
@@ -107,6 +121,9 @@ def null_ids(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _ordered(table: pa.Table) -> pa.Table:
+    """In the bucket's one order.  Texts get 64-bit offsets: a bucket may hold more than 2 GiB."""
+    at = table.schema.get_field_index("text")
+    table = table.set_column(at, "text", table.column(at).cast(pa.large_string()))
     return table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
@@ -137,9 +154,16 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def string_array(data: np.ndarray, off: np.ndarray, binary: bool = False) -> pa.Array:
-    make = pa.BinaryArray if binary else pa.StringArray
-    return make.from_buffers(*([pa.binary()] if binary else []), len(off) - 1, *([[None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]] if binary else [pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]))
+def string_array(data: np.ndarray, off: np.ndarray, binary: bool = False) -> pa.ChunkedArray:
+    """A string or binary column, in chunks of less than 2 GiB."""
+    data, chunks, a = np.ascontiguousarray(data), [], 0
+    while True:
+        b = len(off) - 1 if off[-1] - off[a] < 2**31 else max(a + 1, int(np.searchsorted(off, off[a] + 2**31 - 1, side="right")) - 1)
+        places, part = pa.py_buffer((off[a : b + 1] - off[a]).astype(np.int32)), pa.py_buffer(data[off[a] : off[b]])
+        chunks.append(pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, places, part]) if binary else pa.StringArray.from_buffers(b - a, places, part))
+        if b == len(off) - 1:
+            return pa.chunked_array(chunks)
+        a = b
 
 
 def requests_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:

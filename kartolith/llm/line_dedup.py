@@ -9,7 +9,7 @@ aggregated) is merge-anti-joined with the runs, newest level first: keys found t
 others become a new run; ``fanout`` runs of a level are merged into one of the next.  Hash ranges are
 independent tasks, and a key that a third of all rows hold reaches its range once a bucket.
 
-Null or empty text: one empty line.  Null id: the smallest.  Repeated ids count as one document.
+Null or empty text: one empty line.  Very long texts: whole, in the bucket of their document.  Null id: the smallest.  Repeated ids count as one document.
 Empty table: empty result.  Other columns are ignored.
 """
 
@@ -22,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import REQUEST, DATA, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, pack_bits, reduce_parts, replies_table, requests_table, string_array, unpack_bits
+from ._common import REQUEST, DATA, NULL_ID, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, pack_bits, reduce_parts, replies_table, requests_table, string_array, unpack_bits
 from ._hashing import IS_WS, LOWER, classes, dense_rank
 from .substring_dedup import _slices
 
+#: What a document without an identifier counts in a bucket; over all buckets it is one.
+NAMELESS = 1 << 40
+
 
 class SortedRuns:
     """Levels of sorted runs (h1, h2, documents, largest document), compacted when a level is full."""
@@ -106,7 +109,8 @@ class _Lines:
             rank = rank[by]
             new[1:] = rank[1:] != rank[:-1]
             new[self.first] = True
-            self.docs = np.add.reduceat(new.astype(np.int64), self.first)
+            nameless = np.where(self.ids[0] == NULL_ID, rank == 0, False)  # these rows are one document, but spread over buckets
+            self.docs = np.add.reduceat(np.where(new, np.where(nameless, NAMELESS, 1), 0), self.first)
             self.top = np.unique(self.ids)[np.maximum.reduceat(rank, self.first)]
         else:
             self.docs = self.top = np.empty(0, np.int64)
@@ -136,7 +140,7 @@ def _decide(min_docs: int, fanout: int):
             at = np.searchsorted(r1, h1)
             while (wrong := r2[at] != h2).any():  # keys that agree in their first half
                 at = at + wrong
-            drop = n[at] >= min_docs
+            drop = (n[at] % NAMELESS) + (n[at] >= NAMELESS) >= min_docs
             out.append((bucket, part, DATA, pack_bits(drop) + t[at[drop]].tobytes()))
         return replies_table(out)
 

@@ -2,41 +2,47 @@
 
 A document is the set of its distinct ``shingle``-word shingles (lower-cased A-Z); documents whose sets
 have a Jaccard similarity of ``percent`` / 100 or more are linked, and the connected components are the
-groups.  Documents with equal sets form one class first, so copies are never expanded into pairs.
-
-The forest has ``trees`` orders of one signature, each sorted by its own rotation.  Documents that
-agree on the first ``DEPTH`` values of an order are one region.  Small regions are compared in full.  Dense
-ones are adapted: each document meets the first of its region and of every deeper prefix it shares.
-Where a dense region still holds several components, its documents go through another round with new hash
-functions and new leaders, across components only, until a round joins nothing more.  Dense regions that hold several
-components even then are compared in full, in blocks of documents, so no document of a region goes uncompared with another
-component's.  Every link is confirmed on full sets.
-
-All exchanges are packed (see ``_common``): texts move once a round, a leader's set moves once per bucket
+groups.  Documents with equal sets form one class first, collapsed in every bucket before any join, so copies are
+never expanded into pairs.
+
+The forest has ``trees`` sorted orders of signatures, each with hash functions of its own, cut into ranges of signatures.  The
+depth at which an order is read adapts to the region: a leaf is the shortest common prefix (2 to 8 values) that at most
+``LEAF`` sets share, and its sets are compared in full.  Sorted neighbours that share 2 values are compared everywhere, and
+where more than LEAF sets share 4 values (a dense region), each also meets the first of every longer prefix.
+Candidates are screened by 128 one-bit MinHashes, six standard deviations below the threshold, and confirmed on full sets.
+
+Dense regions are settled exactly.  The sets of their documents are stored once; while a region holds several components,
+its documents go through further forests with new hash functions, across components only, and when one joins
+nothing more, what is left is compared in full: documents outside a region's greatest component meet all others, in
+blocks.  So no two documents that share 4 values of an order stay uncompared, however dense their region; a pair at 70 %
+that shares no 4 values in any of 32 orders (1.5 in 10,000) is found by a leaf of 2 or 3 values where its surroundings are
+sparse.  ``exact`` compares all documents by a prefix-filter join instead, without a chance of a miss.
+
+All exchanges are packed (see ``_common``): texts move once, a leader's set moves once per bucket
 of documents that it meets, and no region's sets meet in one task; the full comparison sends a set once a pair of blocks.
 
-Null, empty and white-space texts: empty set, linked with nothing.  Fewer words than a shingle: the whole
-sequence is the one shingle.  Null id: the smallest; repeated ids are one node, so their rows stay or
+Null, empty and white-space texts: empty set, linked with nothing.  Very long texts: whole, in the bucket of their document.  Fewer
+words than a shingle: the whole sequence is the one shingle.  Null id: the smallest; repeated ids are one node, so their rows stay or
 go together.  Empty table: empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import DATA, MEMO, NULL_ID, REQUEST, balanced_labels, bucket_carried, bucket_rows, bucketed, messages, null_ids, reduce_parts, replies_table, requests_table, string_array, utf8, written
+from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, dealt, messages, null_ids, reduce_parts, replies_table, requests_table, utf8, written
 from ._hashing import BASE2, LOWER, mix, prefix, spans, windows, within, word_hashes, word_spans
 from .substring_dedup import _slices
 
-DEPTH, DEEP, SMALL = 4, 4, 8
+DEPTH, DEEP, LEAF, SHALLOW = 4, 4, 8, 2
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
-_NODE = "doc_id long, n_shingles long, d1 long, d2 long, links array<long>, regions array<long>"
-_NODE_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64()))])
+_NODE = "doc_id long, n_shingles long, d1 long, d2 long, links array<long>, regions array<long>, shingles binary"
+_NODE_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +66,6 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarr
     return h[new], np.concatenate([[0], np.cumsum(new)])[so]
 
 
-def _pick(data: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of some documents."""
-    size = np.diff(off)[which]
-    return np.concatenate([data[off[i] : off[i + 1]] for i in which.tolist()] or [data[:0]]), np.concatenate([[0], np.cumsum(size)])
-
-
 def signatures(sh: np.ndarray, so: np.ndarray, count: int, seed: int) -> np.ndarray:
     """MinHash values of non-empty sets, 16 bits each: one row a hash function."""
     factors = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,28 +92,63 @@ def _digests(sh: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one[:-1], two[:-1]
 
 
+def _classes(d1: np.ndarray, d2: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For every set the first that equals it; -1 for empty ones."""
+    order = np.lexsort((np.arange(len(n)), d2, d1))
+    order = order[n[order] > 0]
+    first = np.ones(len(order), bool)
+    first[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
+    out = np.full(len(n), -1, np.int64)
+    if len(order):
+        out[order] = order[first][np.cumsum(first) - 1]
+    return out
+
+
+def _load(table: pa.Table, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bucket, ids, components, shingles and offsets of a bucket of texts, or of stored sets, in its one order."""
+    if "shingles" not in table.column_names:
+        bucket, ids, data, off = bucket_rows(table)
+        return bucket, ids, ids, *shingle_sets(data, off, size)
+    at = table.schema.get_field_index("shingles")
+    table = table.set_column(at, "shingles", table.column(at).cast(pa.large_binary())).combine_chunks().sort_by([("doc_id", "ascending"), ("shingles", "ascending")])
+    raw, off = utf8(table.column("shingles"))
+    sh = np.frombuffer(raw.tobytes(), np.uint64)
+    return int(table.column("bucket")[0].as_py()), table.column("doc_id").to_numpy(), table.column("component").to_numpy(), sh, off // 8
+
+
+def _sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a signature: the low bit of each of its first values."""
+    bits = (sig[:128] & 1).astype(np.uint8)
+    packed = np.packbits(np.concatenate([bits, np.zeros((128 - len(bits), bits.shape[1]), np.uint8)]).T, axis=1)
+    words = np.ascontiguousarray(packed).view(np.uint64)
+    return words[:, 0], words[:, 1]
+
+
+def allowed(values: int, percent: int) -> int:
+    """Bits in which the sketches of two sets at the threshold may differ: six standard deviations over the mean."""
+    m, p = min(values, 128), (1 - percent / 100) / 2
+    return math.ceil(m * p + 6 * math.sqrt(m * p * (1 - p))) + 1
+
+
 def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        bucket, ids, data, off = bucket_rows(table)
-        component = bucket_carried(table).to_numpy() if "carried" in table.column_names else ids
-        sh, so = shingle_sets(data, off, size)
+        bucket, ids, component, sh, so = _load(table, size)
         n = np.diff(so)
         d1, d2 = _digests(sh, so)
-        order = np.lexsort((np.arange(len(n)), d2, d1))
-        order = order[n[order] > 0]
-        first = np.ones(len(order), bool)
-        first[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
-        own = np.sort(order[first])
+        own = np.unique(_classes(d1, d2, n))
+        own = own[own >= 0]
         if not len(own):
             return requests_table([])
         take = np.repeat(np.isin(np.arange(len(n)), own), n)
-        sig = signatures(sh[take], np.concatenate([[0], np.cumsum(n[own])]), trees * DEPTH, seed).astype(np.uint64)
+        sig = signatures(sh[take], np.concatenate([[0], np.cumsum(n[own])]), trees * DEPTH, seed)
+        s1, s2 = _sketches(sig)
+        sig = sig.astype(np.uint64)
         keys, deep = np.empty((trees, len(own)), np.uint64), np.empty((trees, len(own)), np.uint32)
-        for t in range(trees):
-            k = np.zeros(len(own), np.uint64)
+        for t in range(trees):  # 8 bits of tree and 4 values of 14 bits; then 4 values of 8 bits
+            k = np.full(len(own), t * 256 // trees, np.uint64)
             for v in sig[t * DEPTH : (t + 1) * DEPTH]:
-                k = (k << np.uint64(16)) | v
-            keys[t] = mix(k + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64))
+                k = (k << np.uint64(14)) | (v >> np.uint64(2))
+            keys[t] = k
             lo = np.zeros(len(own), np.uint64)
             for j in range(DEEP):
                 lo = (lo << np.uint64(8)) | (sig[((t + 1) * DEPTH + j) % len(sig)] & np.uint64(255))
@@ -127,78 +162,84 @@ def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
             which = own[used]
             index = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
             head = np.array([b - a, len(used), index.itemsize], np.int64)
-            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], d1[which], component[which], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index))))
+            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], component[which], d1[which], s1[used], s2[used], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index))))
         return requests_table(rows)
 
     return run
 
 
-def _regions(percent: int, by_order: bool):
+def _same(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Where sorted keys begin a new group."""
+    new = np.append(True, x[1:] != x[:-1])
+    if y is not None:
+        new[1:] |= y[1:] != y[:-1]
+    return new
+
+
+def _regions(percent: int, differ: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(10)]
         for bucket, _, m in messages(table):
             n, u, width = np.frombuffer(m, np.int64, 3).tolist()
-            keys = np.frombuffer(m, np.uint64, n, 24)
-            at = 24 + 8 * n
-            ids, d1, comp = np.frombuffer(m, np.int64, u, at), np.frombuffer(m, np.uint64, u, at + 8 * u), np.frombuffer(m, np.int64, u, at + 16 * u)
-            at += 24 * u
+            keys, at = np.frombuffer(m, np.uint64, n, 24), 24 + 8 * n
+            ids, comp = np.frombuffer(m, np.int64, 2 * u, at).reshape(2, u)
+            d1, s1, s2 = np.frombuffer(m, np.uint64, 3 * u, at + 16 * u).reshape(3, u)
+            at += 40 * u
             deep = np.frombuffer(m, np.uint32, n, at)
-            which, sizes = np.frombuffer(m, np.uint32, u, at + 4 * n), np.frombuffer(m, np.uint32, u, at + 4 * n + 4 * u)
+            which, sizes = np.frombuffer(m, np.uint32, 2 * u, at + 4 * n).reshape(2, u)
             index = np.frombuffer(m, np.uint16 if width == 2 else np.uint32, n, at + 4 * n + 8 * u)
-            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index])):
+            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index], s1[index], s2[index])):
                 c.append(v)
-        key, deep, ids, d1, bucket, which, sizes, comp = map(np.concatenate, cols)
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        start = np.flatnonzero(new)
-        dense = np.diff(np.append(start, len(order)))
-        order = order[np.repeat(dense > 1, dense)]  # alone in its region: nothing to compare
+        every = [np.concatenate(c) for c in cols]
+        order = np.argsort(every[0], kind="stable")
+        start = np.flatnonzero(_same(every[0][order] >> np.uint64(14 * (DEPTH - SHALLOW))))
+        count = np.diff(np.append(start, len(order)))
+        order = order[np.repeat(count > 1, count)]  # alone in its region: nothing to compare
         if not len(order):
             return replies_table([])
-        key, deep, ids, d1, bucket, which, sizes, comp = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes, comp))
-        order = np.lexsort((ids, d1, deep, key))
-        key, deep, ids, d1, bucket, which, sizes, comp = (c[order] for c in (key, deep, ids, d1, bucket, which, sizes, comp))
-        fresh = np.append(True, (key[1:] != key[:-1]) | (d1[1:] != d1[:-1]))  # equal sets: the smallest speaks for all
-        key, deep, ids, bucket, which, sizes, comp = (c[fresh] for c in (key, deep, ids, bucket, which, sizes, comp))
-        new = np.append(True, key[1:] != key[:-1])
-        region = np.cumsum(new) - 1
-        count = np.diff(np.append(np.flatnonzero(new), len(key)))[region]
-        left, right = [], []
-        few = np.flatnonzero((count > 1) & (count <= SMALL))
-        for step in range(1, SMALL):
-            a = few[few + step < len(key)]
-            a = a[region[a + step] == region[a]]
+        order = order[np.lexsort(tuple(every[k][order] for k in (2, 3, 1, 0)))]
+        every = [c[order] for c in every]
+        fresh = _same(every[0], every[3])  # equal sets: the smallest speaks for all
+        key, deep, ids, _, bucket, which, sizes, comp, s1, s2 = (c[fresh] for c in every)
+        leaf = np.full(len(key), -1, np.int64)
+        left, right, dense = [], [], np.zeros(len(key), bool)
+        for level in range(SHALLOW, DEPTH + DEEP + 1):
+            new = _same(key >> np.uint64(14 * (DEPTH - level))) if level <= DEPTH else _same(key, deep >> np.uint32(8 * (DEPTH + DEEP - level)))
+            group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            count = np.diff(np.append(start, len(key)))
+            small = (leaf < 0) & (count <= LEAF)[group]
+            leaf[small] = level * len(key) + group[small]
+            if level == SHALLOW:  # sorted neighbours
+                left.append(np.flatnonzero(~new) - 1)
+                right.append(np.flatnonzero(~new))
+            if level >= DEPTH:
+                many = np.flatnonzero((count > LEAF)[group])
+                by = np.lexsort((ids[many], group[many]))
+                first = by[_same(group[many])] if len(many) else by
+                left.append(many[first][np.cumsum(_same(group[many])) - 1] if len(many) else many)
+                right.append(many)
+            if level == DEPTH:
+                dense[many] = True
+        for step in range(1, LEAF):
+            a = np.flatnonzero((leaf[:-step] == leaf[step:]) & (leaf[step:] >= 0))
             left.append(a)
             right.append(a + step)
-        many = np.flatnonzero(count > SMALL)
-        if len(many):
-            for level in range(DEEP + 1):
-                prefix_ = deep[many] >> np.uint32(8 * (DEEP - level)) if level else np.zeros(len(many), np.uint32)
-                starts = np.append(True, (region[many][1:] != region[many][:-1]) | (prefix_[1:] != prefix_[:-1]))
-                group = np.cumsum(starts) - 1
-                if by_order:
-                    leader = many[np.flatnonzero(starts)][group]
-                    left.append(many[:-1])
-                    right.append(np.where(region[many[1:]] == region[many[:-1]], many[1:], many[:-1]))
-                else:
-                    by = np.lexsort((ids[many], group))
-                    leader = many[by[np.flatnonzero(starts)]][group]
-                left.append(leader)
-                right.append(many)
         a, x = np.concatenate(left), np.concatenate(right)
         lo, hi = np.minimum(sizes[a], sizes[x]), np.maximum(sizes[a], sizes[x])
         ok = (comp[a] != comp[x]) & (100 * lo >= percent * hi)  # in one component already: nothing to learn
+        ok &= np.bitwise_count(s1[a] ^ s1[x]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[x]) <= differ
         a, x = a[ok], x[ok]
-        swap = (ids[a] > ids[x]) & (not by_order)
+        swap = ids[a] > ids[x]
         a, x = np.where(swap, x, a), np.where(swap, a, x)
         out = []
         pairs = np.unique(np.stack([bucket[a], which[a].astype(np.int64), bucket[x], which[x].astype(np.int64)], axis=1), axis=0)
-        cuts = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])) if len(pairs) else np.empty(0, np.int64)
+        cuts = np.flatnonzero(_same(pairs[:, 0])) if len(pairs) else np.empty(0, np.int64)
         for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(pairs)).tolist()):
             out.append((int(pairs[i, 0]), part, DATA, pairs[i:j, 1:].astype(np.int32).tobytes()))
+        many = np.flatnonzero(dense)
         by = many[np.argsort(bucket[many], kind="stable")]
-        cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])) if len(by) else np.empty(0, np.int64)
+        cuts = np.flatnonzero(_same(bucket[by])) if len(by) else np.empty(0, np.int64)
         for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
             out.append((int(bucket[by[i]]), part, MEMO, np.array([j - i], np.int64).tobytes() + key[by[i:j]].tobytes() + which[by[i:j]].tobytes()))
         return replies_table(out)
@@ -210,34 +251,33 @@ def _send_sets(size: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return requests_table([])
-        bucket, ids, data, off = bucket_rows(left)
         got = messages(right)
+        bucket = int(left.column("bucket")[0].as_py())
         rows = [(bucket, bucket, MEMO, m) for _, kind, m in got if kind == MEMO]
         asked = [np.frombuffer(m, np.int32).reshape(-1, 3) for _, kind, m in got if kind == DATA]
         if not asked:
             return requests_table(rows)
+        bucket, ids, _, sh, so = _load(left, size)
         pairs = np.unique(np.concatenate(asked).astype(np.int64)[:, [1, 0, 2]], axis=0)
-        which, at = np.unique(pairs[:, 1], return_inverse=True)
-        sh, so = shingle_sets(*_pick(data, off, which), size)
-        cuts = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
+        cuts = np.flatnonzero(_same(pairs[:, 0]))
         for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(pairs)).tolist()):
-            used, index = np.unique(at[i:j], return_inverse=True)
+            used, index = np.unique(pairs[i:j, 1], return_inverse=True)
             head = np.array([j - i, len(used)], np.int64)
             sets = np.concatenate([sh[so[k] : so[k + 1]] for k in used.tolist()])
-            rows.append((int(pairs[i, 0]), bucket, DATA, b"".join(v.tobytes() for v in (head, ids[which[used]], np.diff(so)[used], index.astype(np.int64), pairs[i:j, 2], sets))))
+            rows.append((int(pairs[i, 0]), bucket, DATA, b"".join(v.tobytes() for v in (head, ids[used], np.diff(so)[used], index.astype(np.int64), pairs[i:j, 2], sets))))
         return requests_table(rows)
 
     return run
 
 
-def _confirm(size: int, percent: int):
+def _confirm(size: int, percent: int, first_round: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=_NODE_PA)
-        bucket, ids, data, off = bucket_rows(left)
-        sh, so = shingle_sets(data, off, size)
+        bucket, ids, _, sh, so = _load(left, size)
         n = np.diff(so)
         d1, d2 = _digests(sh, so)
+        own = _classes(d1, d2, n)
         links: dict[int, set[int]] = {}
         regions: dict[int, set[int]] = {}
         for _, kind, m in messages(right):
@@ -257,10 +297,12 @@ def _confirm(size: int, percent: int):
                 both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     links.setdefault(i, set()).add(int(theirs[j]))
-        return pa.Table.from_arrays(
-            [ids, n, d1.view(np.int64), d2.view(np.int64), pa.array([sorted(links[i]) if i in links else None for i in range(len(ids))], pa.list_(pa.int64())), pa.array([sorted(regions[i]) if i in regions else None for i in range(len(ids))], pa.list_(pa.int64()))],
-            schema=_NODE_PA,
-        )
+        for i in np.flatnonzero((own >= 0) & (own != np.arange(len(own)))).tolist():
+            links.setdefault(i, set()).add(int(ids[own[i]]))
+        speaks = own == np.arange(len(own))  # for its class in this bucket
+        lists = lambda found: pa.array([sorted(found[i]) if i in found else None for i in range(len(ids))], pa.list_(pa.int64()))
+        stored = pa.array([sh[so[i] : so[i + 1]].tobytes() if first_round and i in regions else None for i in range(len(ids))], pa.binary())
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(d1.view(np.int64), mask=~speaks), pa.array(d2.view(np.int64), mask=~speaks), lists(links), lists(regions), stored], schema=_NODE_PA)
 
     return run
 
@@ -285,23 +327,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _round(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, trees: int, number: int, carry: str | None = None) -> DataFrame:
-    rows, width = bucketed(docs, id_col, text_col, 4, carry)
+def _round(rows: DataFrame, width: int, shingle: int, percent: int, trees: int, number: int) -> DataFrame:
+    """One forest over buckets of texts (number 0) or of stored sets."""
     labels = balanced_labels(width, 1)
     grouped = rows.groupBy("bucket")
-    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, trees, 7919 + number), REQUEST), width, _regions(percent, number > 0))
+    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, trees, 7919 + number), REQUEST), width, _regions(percent, allowed(trees * DEPTH, percent)))
     sets = grouped.cogroup(pairs.groupBy("bucket")).applyInArrow(_send_sets(shingle), REQUEST).repartition(width, "part")
-    return written(grouped.cogroup(sets.groupBy("part")).applyInArrow(_confirm(shingle, percent), _NODE), "nodes")
-
-
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sh, so = shingle_sets(*utf8(batch.column("text")), size)
-            sets = string_array(sh.view(np.uint8), 8 * so, binary=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
-
-    return run
+    return written(grouped.cogroup(sets.groupBy("part")).applyInArrow(_confirm(shingle, percent, not number), _NODE), "nodes")
 
 
 def shared_counts(sh: np.ndarray, so: np.ndarray, first: np.ndarray, second: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -339,48 +371,101 @@ def _compare(percent: int):
     return run
 
 
-def settle(texts: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
+def settle(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the components of every region, all documents of different components compared on full sets.
 
-    texts: doc_id, text.  placed: region, doc_id, n_shingles, component.  Large regions are cut into blocks that meet in pairs.
+    sets: doc_id, shingles.  placed: region, doc_id, n_shingles, component.  The documents outside a region's greatest component
+    meet each other and that component's, in blocks; those inside it do not meet each other.
     """
-    sets = written(texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    blocks = placed.groupBy("region").agg(parts.alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    slots = placed.join(blocks, "region").withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")).select("region", "doc_id", "component", "slot", other)
-    meet = slots.select("region", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "component")
+    each = placed.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    every = each.groupBy("region").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    plan = every.select("region", F.col("top.component").alias("inside"), cut(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("out"), cut(F.col("top.n"), F.col("top.s")).alias("in")).where("`out` > 0")
+    slot = F.when(F.col("component") == F.col("inside"), F.col("out") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("in"))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("out"))).cast("int")
+    slots = placed.join(plan, "region").withColumn("slot", slot)
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("slot") < F.col("out"), F.col("out") + F.col("in")).otherwise(F.col("out")) - 1)).alias("other")
+    meet = slots.select("region", "slot", "doc_id", "component", other).select("region", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "component")
     return meet.join(sets, "doc_id").groupBy("region", "i", "j").applyInArrow(_compare(percent), "u long, v long").where("u <> v").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 70, trees: int = 32) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of the stored sets by an exact prefix-filter join: two sets at the threshold share one of the least hashes of each."""
+    need = F.ceil(F.col("n") * percent / 100)
+    rows = sets.select("doc_id", F.expr("length(shingles) div 8").alias("n"), "shingles").where("n > 0")
+    first = rows.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(0), (F.col("n") - need).cast("int")), lambda i: F.substring("shingles", i * 8 + 1, F.lit(8)))).alias("h"))
+    a, b = (first.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), "h") for c in "uv")
+    pairs = a.join(b, "h").where(f"u < v and 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v").distinct()
+    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_verify(percent), "u long, v long")
+
+
+def _verify(percent: int):
+    def run(batches):
+        for batch in batches:
+            u, v, a, b = (batch.column(c).to_pylist() for c in ("u", "v", "su", "sv"))
+            keep = []
+            for k, (x, y) in enumerate(zip(a, b)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, ids, _, sh, so = _load(table, size)
+        n = np.diff(so)
+        d1, d2 = _digests(sh, so)
+        own = _classes(d1, d2, n)
+        speaks = own == np.arange(len(own))
+        links = pa.array([None if k < 0 or s else [int(ids[k])] for k, s in zip(own.tolist(), speaks.tolist())], pa.list_(pa.int64()))
+        sets = pa.array([sh[a:b].tobytes() if s else None for a, b, s in zip(so[:-1].tolist(), so[1:].tolist(), speaks.tolist())], pa.binary())
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(d1.view(np.int64), mask=~speaks), pa.array(d2.view(np.int64), mask=~speaks), links, pa.nulls(len(ids), pa.list_(pa.int64())), sets], schema=_NODE_PA)
+
+    return run
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 70, trees: int = 32, exact: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_links, component_id, kept.
 
     component_id: the smallest identifier reachable over links; kept: whether that is the document itself.
-    n_links: confirmed links of the first round that the forest attributes to this document.
+    n_links: confirmed links of the first forest that it attributes to this document, one to an equal set of its bucket included.
+    exact: compare all sets by a prefix-filter join instead of the forest (dearer; a hash that very many sets share is one join key).
     """
-    nodes = _round(docs, id_col, text_col, shingle, percent, trees, 0)
-    full = nodes.where("n_shingles > 0")
-    same = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = full.join(same, ["d1", "d2", "n_shingles"]).select("u", F.col("doc_id").alias("v"))
-    edges = copies.union(nodes.select(F.col("doc_id").alias("u"), F.explode("links").alias("v")))
-    found = written(components(edges), "components")
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows, width = bucketed(docs, id_col, text_col, 4)
+    if exact:
+        nodes = written(rows.groupBy("bucket").applyInArrow(_sets(shingle), _NODE), "nodes")
+        stored = nodes.where("shingles is not null").select("doc_id", "shingles")
+        nodes, pairs = nodes.drop("shingles"), prefix_pairs(stored, percent)
+    else:
+        nodes = _round(rows, width, shingle, percent, trees, 0)
+        pairs = None
+    speak = nodes.where("d1 is not null").select("doc_id", "d1", "d2", "n_shingles")  # one row a class and bucket
+    same = speak.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = speak.join(same, ["d1", "d2", "n_shingles"]).select("u", F.col("doc_id").alias("v")).union(nodes.select(F.col("doc_id").alias("u"), F.explode("links").alias("v")))
+    found = written(components(edges if pairs is None else edges.union(pairs)), "components")
+    sets = nodes.where("regions is not null").select("doc_id", "n_shingles", "shingles", "regions") if pairs is None else None
     number = 0
-    while True:
-        placed = nodes.where("regions is not null").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.explode("regions").alias("region"), F.coalesce("component", "doc_id").alias("component"))
+    while sets is not None:
+        owned = sets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = owned.select("doc_id", "n_shingles", "component", F.explode("regions").alias("region"))
         torn = placed.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
-        again = written(placed.join(torn, "region", "left_semi").select("doc_id", "component").distinct(), "again")
-        if again.isEmpty():
+        placed = written(placed.join(torn, "region", "left_semi"), "placed")
+        again = placed.select("doc_id").distinct()
+        if placed.isEmpty():
             break
         number += 1
-        more = _round(texts.join(again, "doc_id"), "doc_id", "text", shingle, percent, trees, number, "component")
-        extra = more.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
+        left = owned.join(again, "doc_id", "left_semi").select(dealt(width, 4, "doc_id").alias("bucket"), "doc_id", "component", "shingles").repartition(width, "bucket")
+        more = _round(left, width, shingle, percent, trees, number)
         comp = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+        extra = more.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
         fresh = written(extra.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")).where("u <> v").distinct(), "links")
         settled = fresh.isEmpty()
-        if settled:  # leaders find no more: the regions still torn in full
-            fresh = written(settle(texts, placed.join(torn, "region", "left_semi"), shingle, percent), "links")
+        if settled:  # forests find no more: the regions still torn in full
+            fresh = written(settle(sets.select("doc_id", "shingles"), placed, percent), "links")
             if fresh.isEmpty():
                 break
         found = written(components(fresh.union(found.select(F.col("id").alias("u"), F.col("component").alias("v")))), "components")

@@ -4,12 +4,13 @@ A window of ``window`` words that also starts in a document with a smaller ident
 every word under a repeat goes.  Any window holds a whole block of ``window // 2`` words aligned in
 its document, so the index holds non-overlapping blocks only and every rolling window of that length
 probes it.  Around hits that two documents share, anchors are extended to maximal exact repeats:
-all windows over a hit are compared by 96-bit fingerprints and the smallest document of each kept.
+all windows over a hit are compared by 96-bit fingerprints, from two independent hashes of every word, and the smallest
+document of each kept.
 
 Three passes over one shuffle of the texts (see ``_common``): probes (32 bits a probe in a hash range,
 unique per bucket; false hits only cost work), windows around hits, removal.
 
-Null text: no words.  Null id: compared as the smallest.  Repeated ids: rows of one id never
+Null text: no words.  Very long texts: whole, in the bucket of their document.  Null id: compared as the smallest.  Repeated ids: rows of one id never
 remove each other's words.  Empty table: empty result.  Other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import (
     DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, messages, null_ids, pack_bits, part_edges, reduce_parts, replies_table, requests_table, string_array, unpack_bits,
 )
-from ._hashing import BASE2, classes, dense_rank, mix, prefix, windows, within, word_hashes, word_spans
+from ._hashing import BASE, BASE2, classes, dense_rank, prefix, windows, within, word_hashes, word_spans
 
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -104,9 +105,9 @@ class _Windows:
 
     def __init__(self, p: _Probes, shared: np.ndarray, window: int):
         self.at, doc = p.candidates(shared, window)
-        w2 = mix(p.w ^ np.uint64(0xA0761D6478BD642F))
+        w2 = word_hashes(p.data, p.starts, p.ends, 1) if len(self.at) else p.w
         self.a = windows(prefix(p.w, BASE2), window, BASE2)[self.at]
-        self.b = (windows(prefix(w2, BASE2), window, BASE2)[self.at] >> np.uint64(32)).astype(np.uint32)
+        self.b = (windows(prefix(w2, BASE), window, BASE)[self.at] >> np.uint64(32)).astype(np.uint32)
         self.order, self.first = classes(self.a, self.b)
         self.rank = p.rank[doc]
         self.least = np.minimum.reduceat(self.rank[self.order], self.first) if len(self.at) else np.empty(0, np.int64)

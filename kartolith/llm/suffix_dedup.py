@@ -12,7 +12,7 @@ agree are settled by blind tries, built a level at a time for all groups togethe
 compared with one leaf of its node, and branches by the depth and byte at which it leaves it.  Equal
 strings end in one leaf, whose least location survives.
 
-Null text: no bytes.  Null id: the smallest.  Repeated ids: in the order of their texts, one after
+Null text: no bytes.  Very long texts: whole, in the bucket of their document.  Null id: the smallest.  Repeated ids: in the order of their texts, one after
 the other.  Texts shorter than ``length`` stay.  Empty table: empty result.  Other columns are ignored.
 """
 
