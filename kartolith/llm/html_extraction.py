@@ -12,7 +12,7 @@ Never content, whatever their density: scripts, styles, navigation, footers, asi
 notice, share bar, sidebar or reader comments.  A class or id counts as a whole or by its first or last part; where
 only a part speaks, or for a form, the element stays if it holds most of the page's text.
 
-Pages are independent rows: one map step, no shuffle.  Null or empty html: empty text.  Pages without
+Time is linear in the page, however deeply it nests.  Pages are independent rows: one map step, no shuffle.  Null or empty html: empty text.  Pages without
 elements: their text.  Null identifiers pass through, repeated rows are each extracted.  Empty table:
 empty result.  Other columns are ignored.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -90,11 +91,24 @@ def _unwanted(tag: str, attributes: str, in_article: bool, most: bool = False) -
     return False
 
 
+class _All:
+    """Holds every place."""
+
+    def __contains__(self, place: int) -> bool:
+        return True
+
+    def __len__(self) -> int:
+        return 0
+
+    def add(self, place: int) -> None:
+        pass
+
+
 class _Page:
     """Block elements in document order (a subtree is a range), and the blocks of text with their nodes."""
 
     def __init__(self, html: str):
-        most: set[int] = set()  # places of elements that would go, but hold most of the text
+        most: set[int] | _All = set()  # places of elements that would go, but hold most of the text
         while True:
             self.tags, self.parents, self.ends = ["#page"], [-1], [0]
             self.chars, self.links, self.link_tags = [0], [0], [0]
@@ -103,11 +117,14 @@ class _Page:
             if more is None or {"article", "main"} & set(self.tags):
                 break
             most.add(more)
+            if len(most) > 32:  # nested that deep: every doubtful element may stay
+                most = _All()
         self.ends[0] = len(self.tags)
 
-    def _read(self, html: str, most: set[int]) -> int | None:
+    def _read(self, html: str, most: set[int] | _All) -> int | None:
         """Fills the lists; returns the place of a dropped element that holds most of the text and may stay."""
         stack, open_tags = [0], ["#page"]  # a node is -1 where the subtree is dropped
+        depths: dict[str, list[int]] = {}  # where each tag is open, so no search depends on the depth
         pieces: list[str] = []
         link, articles, at, size = 0, 0, 0, len(html)
         seen, doubt, outer = 0, (0, 0, 0), (0, 0)  # characters so far; the greatest doubtful subtree; the open one's place and start
@@ -130,6 +147,7 @@ class _Page:
                 doubt, deep = max(doubt, (seen - outer[1], outer[0], 1)), 0
             while len(stack) > depth:
                 node, tag = stack.pop(), open_tags.pop()
+                depths[tag].pop()
                 if tag in ("article", "main"):
                     articles -= 1
                 if node > 0:
@@ -162,8 +180,8 @@ class _Page:
                     continue
                 if tag == "br":
                     pieces.append(" ")
-                elif tag in open_tags:
-                    close(len(open_tags) - 1 - open_tags[::-1].index(tag))
+                elif depths.get(tag):
+                    close(depths[tag][-1])
                 continue
             if open_tags[-1] == "head" and tag not in _IN_HEAD:
                 close(len(open_tags) - 1)
@@ -178,7 +196,7 @@ class _Page:
                     pieces.append(" " if tag == "br" else "")
                 continue
             dropped = stack[-1] < 0 or _unwanted(tag, m[3], articles > 0, start in most)
-            if tag in _INLINE and not (dropped and stack[-1] >= 0 and "pre" not in open_tags):
+            if tag in _INLINE and not (dropped and stack[-1] >= 0 and not depths.get("pre")):
                 if tag == "a":
                     link = 1
                     if stack[-1] >= 0:
@@ -188,33 +206,33 @@ class _Page:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else at
                 continue
-            if tag in ("html", "body") and tag in open_tags:
+            if tag in ("html", "body") and depths.get(tag):
                 continue
-            if tag in _CLOSES_P and "p" in open_tags:
-                close(len(open_tags) - 1 - open_tags[::-1].index("p"))
+            if tag in _CLOSES_P and depths.get("p"):
+                close(depths["p"][-1])
                 dropped = stack[-1] < 0 or dropped
             if tag in _ENDS:
                 own, scope = _ENDS[tag]
-                for depth in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[depth] in scope:
-                        break
-                    if open_tags[depth] in own:
-                        close(depth)
+                wall = max((depths[t][-1] for t in scope if depths.get(t)), default=0)
+                inside = [d[bisect_right(d, wall)] for t in own if (d := depths.get(t)) and d[-1] > wall]
+                if inside:
+                    close(min(inside))
                 if stack[-1] >= 0:
                     dropped = _unwanted(tag, m[3], articles > 0, start in most)
-            if tag == "body" and "head" in open_tags:
-                close(open_tags.index("head"))
+            if tag == "body" and depths.get("head"):
+                close(depths["head"][0])
                 dropped = False
             flush()
             articles += tag in ("article", "main")
+            depths.setdefault(tag, []).append(len(open_tags))
             open_tags.append(tag)
             if dropped:
                 if stack[-1] >= 0 and not _unwanted(tag, m[3], articles > 0, True):
                     outer, deep = (start, seen), len(stack)
                 stack.append(-1)
             else:
+                parents.append(stack[-1] if stack[-1] >= 0 else next(s for s in reversed(stack) if s >= 0))
                 stack.append(len(tags))
-                parents.append(next(s for s in reversed(stack[:-1]) if s >= 0))
                 tags.append(tag)
                 for c in (chars, links, link_tags, ends):
                     c.append(0)
@@ -248,13 +266,24 @@ class _Page:
         total = [0.0] * n
         for i in range(1, n):
             total[self.parents[i]] += density[i]
+        core = list(range(n))  # of every subtree, the node of the greatest sum
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            core[p] = max(core[p], core[i], key=lambda j: (total[j], density[j], -j))
         best = max(range(top, n), key=lambda i: (total[i], density[i], -i))
+        whole, article, main = list(range(n)), [-1] * n, [-1] * n  # the nearest article, or the outermost main, around every node
+        for i in range(1, n):
+            p = self.parents[i]
+            article[i] = i if self.tags[i] == "article" else article[p]
+            main[i] = main[p] if main[p] >= 0 or self.tags[i] != "main" else i
+            whole[i] = next((j for j in (article[i], main[i]) if j >= 0), i)
+        holds = [False] * n  # a chosen node
         threshold, i = density[best], best
         while i > top:
             i = self.parents[i]
             threshold = min(threshold, density[i])
         chosen = [False] * n
-        self._mark(chosen, best)
+        self._mark(chosen, holds, whole[best])
         i = top + 1
         while i < n:  # other subtrees at least as dense as the path
             if chosen[i]:
@@ -262,17 +291,16 @@ class _Page:
             elif density[i] < threshold or not chars[i]:
                 i = self.ends[i]
             else:
-                core = max(range(i, self.ends[i]), key=lambda j: (total[j], density[j], -j))
-                if not any(chosen[i : self.ends[i]]):
-                    self._mark(chosen, core)
+                if not holds[i]:
+                    self._mark(chosen, holds, whole[core[i]])
                 i += 1
         if best == top or not {"article", "main"} & set(self.tags):  # no element marks the text: all but what is mostly links
-            core = range(best, self.ends[best]) if best != top else range(0)
+            inside = range(best, self.ends[best]) if best != top else range(0)
             chosen[top] = True
             i = top + 1
             while i < n:
-                if i in core:
-                    i = core.stop
+                if i in inside:
+                    i = inside.stop
                 elif chars[i] and 2 * links[i] > chars[i] and not i < best < self.ends[i]:
                     chosen[i : self.ends[i]] = [False] * (self.ends[i] - i)
                     i = self.ends[i]
@@ -281,15 +309,12 @@ class _Page:
                     i += 1
         return [t for node, t in self.blocks if chosen[node]]
 
-    def _mark(self, chosen: list[bool], node: int) -> None:
-        i = node
-        while i > 0:
-            if self.tags[i] in ("article", "main"):
-                node = i
-                if self.tags[i] == "article":
-                    break
-            i = self.parents[i]
+    def _mark(self, chosen: list[bool], holds: list[bool], node: int) -> None:
         chosen[node : self.ends[node]] = [True] * (self.ends[node] - node)
+        holds[node : self.ends[node]] = [True] * (self.ends[node] - node)
+        while node >= 0 and not (holds[node] and chosen[node] is False):
+            holds[node] = True
+            node = self.parents[node]
 
 
 def main_text(html: str | None) -> str:
