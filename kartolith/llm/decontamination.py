@@ -29,7 +29,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, utf8
+from ._common import qualified, shared_dir, utf8
 from ._hashing import BASE2, LOWER, prefix, spans, windows, within, word_hashes, word_spans
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -202,11 +202,11 @@ def decontaminate(
 
 def _stored(spark: SparkSession, block: list) -> str:
     """The block in the shared folder."""
-    path = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
-    files, place = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    path = qualified(spark, f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}")
+    files, place = FileSystem.from_uri(path)
     with files.open_output_stream(place) as f:
         f.write(pickle.dumps(block))
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    return path
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, dealt, messages, null_ids, reduce_parts, replies_table, requests_table, utf8, written
+from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, dealt, discard, messages, null_ids, reduce_parts, replies_table, requests_table, utf8, written
 from ._hashing import BASE2, LOWER, mix, prefix, spans, windows, within, word_hashes, word_spans
 from .substring_dedup import _slices
 
@@ -320,7 +320,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
-        now = written(small.toDF("u", "v"), "edges")
+        old, now = now, written(small.toDF("u", "v"), "edges")
+        discard(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

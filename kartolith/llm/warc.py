@@ -6,15 +6,16 @@ returns the index: the ordered offset ranges of every file.  ``read_warc`` reads
 ``merkle_tree`` hashes every record's stored bytes and then ordered groups of ``FANOUT`` neighbouring
 ranges, level by level, up to one root a file; a node binds its offset range and its children's
 digests.  ``audit`` compares the roots of two replicas and descends only below nodes that differ,
-one level a step, until it holds the differing records.  Ranges come from the index, so a replica whose
+one level a step, until it holds the differing records: both trees' nodes of a level are cut down to the children of
+suspects before they are compared, so one damaged record costs ``FANOUT`` nodes a level.  Ranges come from the index, so a replica whose
 records no longer parse, or that is cut short, is audited all the same.
 
 Files are written under a name of their own and then renamed, so a repeated task does no harm; file
-names and bytes depend on the input alone.  A tree's nodes are stored by level: a descent reads no more
-than the levels it needs, and joins are on (file, node), which no hot value can overload.
+names and bytes depend on the input alone.  A tree's nodes are stored by level, each with the level of its root, and
+joins are on (file, node), which no hot value can overload.  Paths without a scheme are on Spark's default file system.
 
 Null payload: empty record.  Null name: no target URI.  Null identifiers are stored as absent and read as
-null.  Repeated rows: one record each.  Empty table: no files, empty index, empty audit.  Columns other
+null.  Very long payloads: one record each, held in memory one at a time.  Repeated rows: one record each.  Empty table: no files, empty index, empty audit.  Columns other
 than the named ones are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, written
+from ._common import discard, qualified, shared_dir, written
 
 FANOUT = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -38,13 +39,13 @@ _INDEX = "file string, ordinal long, offset long, length long, record_id long"
 _INDEX_PA = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.int64())])
 _RECORD = "file string, ordinal long, offset long, length long, record_id long, uri string, payload binary"
 _RECORD_PA = pa.schema([*_INDEX_PA, ("uri", pa.string()), ("payload", pa.binary())])
-_NODE = "file string, level int, node long, first_offset long, end_offset long, digest binary"
-_NODE_PA = pa.schema([("file", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("first_offset", pa.int64()), ("end_offset", pa.int64()), ("digest", pa.binary())])
+_NODE = "file string, level int, node long, first_offset long, end_offset long, digest binary, top int"
+_NODE_PA = pa.schema([("file", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("first_offset", pa.int64()), ("end_offset", pa.int64()), ("digest", pa.binary()), ("top", pa.int32())])
 _HIDE = {ord(c): f"%{ord(c):02X}" for c in "\r\n%"}
 
 
 def _place(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    return FileSystem.from_uri(path)
 
 
 def record(payload: bytes, uri: str | None, record_id: int | None, name: str, date: str = DATE) -> bytes:
@@ -104,6 +105,7 @@ def write_warc(rows: DataFrame, paths: list[str], id_col: str, uri_col: str, pay
     harm: what happens to the stored bytes of a record in all replicas but the first (for tests of the audit); it
     must keep their number.
     """
+    paths = [qualified(rows.sparkSession, p) for p in paths]
     for p in paths:
         files, d = _place(p)
         files.create_dir(d, recursive=True)
@@ -154,6 +156,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Raises ValueError for a file that is damaged; audit it to learn where.
     """
+    path = qualified(spark, path)
     return _files(spark, path).mapInArrow(_read(path), _RECORD)
 
 
@@ -177,52 +180,64 @@ def _hash(path: str):
         ranges = sorted(zip(table.column("offset").to_pylist(), table.column("length").to_pylist()))
         leaves, end = [], 0
         try:
-            stream = files.open_input_stream(f"{d}/{name}", compression=None)
+            stream = files.open_input_file(f"{d}/{name}")
         except FileNotFoundError:
             return pa.Table.from_batches([], schema=_NODE_PA)
         with stream as f:
+            size = f.size()
             for offset, length in ranges:
-                raw = f.read(length) if offset == end else b""
-                leaves.append((offset, offset + length, hashlib.sha256(raw).digest()))
-                end = offset + length
-            if f.read(1):  # bytes after the last range
+                if offset != f.tell():
+                    f.seek(min(offset, size))
+                leaves.append((offset, offset + length, hashlib.sha256(f.read(length) if offset < size else b"").digest()))
+                end = max(end, offset + length)
+            if size > end:  # bytes after the last range
                 leaves.append((end, end + 1, b"more"))
         nodes = list(tree_levels(leaves))
-        return pa.Table.from_arrays([pa.array([name] * len(nodes)), *(pa.array(c, f_.type) for c, f_ in zip(zip(*nodes), list(_NODE_PA)[1:]))], schema=_NODE_PA)
+        top = max((x[0] for x in nodes), default=0)
+        return pa.Table.from_arrays([pa.array([name] * len(nodes)), *(pa.array(c, f_.type) for c, f_ in zip(zip(*nodes), list(_NODE_PA)[1:-1])), pa.array([top] * len(nodes), pa.int32())], schema=_NODE_PA)
 
     return run
 
 
 def merkle_tree(index: DataFrame, path: str) -> DataFrame:
-    """Nodes of the trees of all indexed files as stored in ``path``: file, level, node, first_offset, end_offset, digest.
+    """Nodes of the trees of all indexed files as stored in ``path``: file, level, node, first_offset, end_offset, digest, top.
 
-    One task reads one file in order.  Level 0 holds the records; the greatest level of a file is its root.
+    One task reads one file in order, and skips what the index leaves out.  Level 0 holds the records; ``top`` is the level of the
+    file's root.
     """
     spark = index.sparkSession
-    nodes = index.select("file", "offset", "length").groupBy("file").applyInArrow(_hash(path), _NODE)
+    nodes = index.select("file", "offset", "length").groupBy("file").applyInArrow(_hash(qualified(spark, path)), _NODE)
     at = f"{shared_dir(spark)}/merkle-{uuid.uuid4().hex}"
     nodes.write.partitionBy("level").option("compression", "zstd").parquet(at)
     return spark.read.schema(nodes.schema).parquet(at)
 
 
+def below(tree: DataFrame, level: int, suspects: DataFrame | None, fanout: int = FANOUT) -> DataFrame:
+    """The nodes of a level that a descent reads: children of ``suspects`` (file, node one level up), and roots."""
+    rows = tree.where(F.col("level") == level).select("file", "node", "first_offset", "end_offset", "digest", "top")
+    roots = rows.where(F.col("top") == level)
+    if suspects is None:
+        return roots.drop("top")
+    above = suspects.select("file", F.col("node").alias("parent"))
+    under = rows.where(F.col("top") > level).withColumn("parent", F.floor(F.col("node") / fanout)).join(above, ["file", "parent"], "left_semi").drop("parent")
+    return under.select(roots.columns).union(roots).drop("top")
+
+
 def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Differing records of two replicas' trees: file, ordinal, first_offset, end_offset, state.
 
     state: ``changed``, or ``missing`` / ``extra`` where only the left / the right tree has the range.
     """
-    spark = left.sparkSession
-    top = max([x for (x,) in left.agg(F.max("level")).union(right.agg(F.max("level"))).collect() if x is not None], default=0)
-    suspects, level = None, top
-    # Files of unlike depth have their roots on different levels: a node without a parent there is a root.
+    level = max([x for (x,) in left.agg(F.max("level")).union(right.agg(F.max("level"))).collect() if x is not None], default=0)
+    suspects = None
     while level >= 0:
-        mine, yours = (t.where(F.col("level") == level).drop("level") for t in (left, right))
+        mine, yours = (below(t, level, suspects, fanout) for t in (left, right))
         pairs = mine.alias("a").join(yours.alias("b"), ["file", "node"], "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")) | ~F.col("a.end_offset").eqNullSafe(F.col("b.end_offset")))
-        pairs = pairs.select("file", "node", F.coalesce("a.first_offset", "b.first_offset").alias("first_offset"), F.coalesce("a.end_offset", "b.end_offset").alias("end_offset"), F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed").alias("state"))
-        if suspects is not None:  # below a mismatch only, or a root
-            above = suspects.select("file", F.col("node").alias("parent"))
-            roots = left.union(right).groupBy("file").agg(F.max("level").alias("root")).where(F.col("root") == level).select("file")
-            pairs = pairs.withColumn("parent", F.floor(F.col("node") / fanout)).join(above, ["file", "parent"], "left_semi").union(pairs.withColumn("parent", F.lit(None).cast("long")).join(roots, "file", "left_semi").select("file", "parent", "node", "first_offset", "end_offset", "state")).drop("parent").distinct()
-        suspects = written(pairs, "suspects")
+        state = F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed")
+        pairs = pairs.select("file", "node", F.coalesce("a.first_offset", "b.first_offset").alias("first_offset"), F.coalesce("a.end_offset", "b.end_offset").alias("end_offset"), state.alias("state"))
+        above, suspects = suspects, written(pairs, "suspects")
+        if above is not None:
+            discard(above)
         level -= 1
     return suspects.withColumnRenamed("node", "ordinal")
 
