@@ -67,46 +67,61 @@ def discard(df: DataFrame) -> None:
 
 
 _C1, _C2, _C3, _C4, _C5 = (pow(c, -1, 2**32) for c in (0xCC9E2D51, 0x1B873593, 5, 0x85EBCA6B, 0xC2B2AE35))
-_ADD, _SEED = 0xE6546B64, 42
 
 
-def _turn(h, mul, xor, shr, rotr, minus):
-    """The int whose Spark hash (Murmur3 of 4 bytes, seed 42) is h: every step of the hash undone, by the given 32-bit operations."""
-    h = xor(h, shr(h, 16))
-    h = mul(h, _C5)
-    h = xor(xor(h, shr(h, 13)), shr(h, 26))
-    h = mul(h, _C4)
-    h = xor(h, shr(h, 16))
-    h = mul(minus(xor(h, 4), _ADD), _C3)
-    h = mul(xor(rotr(h, 13), _SEED), _C2)
-    return mul(rotr(h, 15), _C1)
+class _Ints:
+    """32-bit operations on 64-bit numpy integers or columns."""
+
+    low = 2**32 - 1
+
+    def __init__(self, xor, shr, shl, keep, times, plus):
+        self.xor, self.shr, self.shl, self.keep, self.times, self.plus = xor, shr, shl, keep, times, plus
+
+    def mul(self, x, m: int):
+        return self.keep(self.plus(self.times(x, m & 0xFFFF), self.shl(self.keep(self.times(x, m >> 16), 0xFFFF), 16)), self.low)
+
+    def rotr(self, x, n: int):
+        return self.keep(self.plus(self.shr(x, n), self.shl(x, 32 - n)), self.low)
+
+
+#: Spark's hash of an int (Murmur3 of 4 bytes, seed 42), undone step by step.
+_UNDO = (
+    lambda o, h: o.xor(h, o.shr(h, 16)),
+    lambda o, h: o.mul(h, _C5),
+    lambda o, h: o.xor(o.xor(h, o.shr(h, 13)), o.shr(h, 26)),
+    lambda o, h: o.mul(h, _C4),
+    lambda o, h: o.xor(h, o.shr(h, 16)),
+    lambda o, h: o.keep(o.plus(o.xor(h, 4), 2**32 - 0xE6546B64), o.low),
+    lambda o, h: o.mul(h, _C3),
+    lambda o, h: o.xor(o.rotr(h, 13), 42),
+    lambda o, h: o.mul(h, _C2),
+    lambda o, h: o.rotr(h, 15),
+    lambda o, h: o.mul(h, _C1),
+)
+_NUMPY = _Ints(lambda x, y: x ^ np.int64(y) if isinstance(y, int) else x ^ y, lambda x, n: x >> n, lambda x, n: x << n, lambda x, m: x & m, lambda x, m: x * m, lambda x, y: x + y)
+_long = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x
+_COLUMNS = _Ints(lambda x, y: x.bitwiseXOR(_long(y)), F.shiftright, F.shiftleft, lambda x, m: x.bitwiseAND(_long(m)), lambda x, m: x * _long(m), lambda x, y: x + _long(y))
 
 
 def balanced_labels(width: int, each: int) -> np.ndarray:
     """width * each int labels; repartition(width, label) puts label i in partition i % width."""
-    u = np.uint64
-    low = u(0xFFFFFFFF)
-    out = _turn(
-        np.arange(width * each, dtype=u),
-        lambda x, m: (x * u(m)) & low, lambda x, y: x ^ (u(y) if isinstance(y, int) else y), lambda x, n: x >> u(n),
-        lambda x, n: ((x >> u(n)) | (x << u(32 - n))) & low, lambda x, m: (x - u(m)) & low,
-    )
-    return out.astype(np.uint32).view(np.int32)
+    h = np.arange(width * each, dtype=np.int64)
+    for step in _UNDO:
+        h = step(_NUMPY, h)
+    return h.astype(np.uint32).view(np.int32)
 
 
-def label_of(slot: Column) -> Column:
-    """``balanced_labels`` as an expression, for slots of any number."""
-    low = F.lit(0xFFFFFFFF)
-    lit = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x
-    mul = lambda x, m: (x * lit(m & 0xFFFF) + F.shiftleft((x * lit(m >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(low)
-    rotr = lambda x, n: F.shiftright(x, n).bitwiseOR(F.shiftleft(x, 32 - n)).bitwiseAND(low)
-    v = _turn(slot.cast("long"), mul, lambda x, y: x.bitwiseXOR(lit(y)), F.shiftright, rotr, lambda x, m: (x + lit(2**32 - m)).bitwiseAND(low))
-    return F.when(v >= 2**31, v - 2**32).otherwise(v).cast("int")
+def with_label(df: DataFrame, slot: Column, name: str = "bucket") -> DataFrame:
+    """df with the label of a slot, for slots of any number; a projection a step, so that no step is evaluated twice."""
+    df = df.withColumn(name, slot.cast("long"))
+    for step in _UNDO:
+        df = df.withColumn(name, step(_COLUMNS, F.col(name)))
+    return df.withColumn(name, F.when(F.col(name) >= 2**31, F.col(name) - 2**32).otherwise(F.col(name)).cast("int"))
 
 
-def dealt(width: int, each: int, *by: Column | str) -> Column:
-    """One of width * each labels by hash; every partition of repartition(width, label) gets exactly ``each`` of them."""
-    return label_of(F.pmod(F.xxhash64(*by), F.lit(width * each)))
+def dealt(df: DataFrame, width: int, each: int, *by: Column | str) -> DataFrame:
+    """df with a ``bucket`` by hash, partitioned by it: every partition holds ``each`` of the width * each buckets."""
+    return with_label(df, F.pmod(F.xxhash64(*by), F.lit(width * each))).repartition(width, "bucket")
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int, carry: str | None = None) -> tuple[DataFrame, int]:
@@ -119,17 +134,12 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, each: int, carry: str
     """
     width = shuffle_width(docs.sparkSession)
     spread = F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text", F.spark_partition_id())).otherwise(F.lit(0))
-    return (
-        docs.select(
-            F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-            F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-            *([F.col(f"`{carry}`").alias("carried")] if carry else []),
-        )
-        .select(F.pmod(F.xxhash64("doc_id", spread), F.lit(width * each)).alias("slot"), "doc_id", "text", *(["carried"] if carry else []))
-        .select(label_of(F.col("slot")).alias("bucket"), "doc_id", "text", *(["carried"] if carry else []))
-        .repartition(width, "bucket"),
-        width,
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *([F.col(f"`{carry}`").alias("carried")] if carry else []),
     )
+    return dealt(rows, width, each, "doc_id", spread).select("bucket", "doc_id", "text", *(["carried"] if carry else [])), width
 
 
 def null_ids(df: DataFrame, *cols: str) -> DataFrame:

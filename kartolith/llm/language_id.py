@@ -3,14 +3,16 @@
 A text is the L2-normalised TF-IDF vector of its character 1- to 3-grams (letters lower-cased, everything
 else one space) hashed to ``FEATURES`` cells.  Each language has several centroids, found by spherical
 k-means; a text takes the language of the centroid with the greatest cosine, and is rejected when even
-that one is too far away.
+that one is too far away.  How near a text of the language itself comes depends on its length, so the limits are set by
+the number of distinct n-grams (powers of two), on cosines that sampled documents have with centroids learned without them.
 
 Document frequencies are counted over all labelled training documents.  Only the clustering uses a
-bounded sample: about ``fit_docs`` documents a language (a parameter, 1,500 by default), whose vectors
+bounded sample: about ``fit_docs`` documents a language (a parameter, 1,500 by default), picked by a hash of identifier and text
+so that the files' layout does not matter, whose vectors
 of at most ``FEATURES`` cells are gathered on the driver.  The model is at most ``FEATURES`` cells a centroid.
 Predictions read the text alone, in one map step without a shuffle.
 
-Null text or no letter: ``und``, score 0, rejected.  Null id: predicted, not learned from.  Null language:
+Null text or no letter: ``und``, score 0, rejected.  Very long texts: whole, a few at a time.  Null id: predicted, not learned from.  Null language:
 predicted, not learned from.  Nothing to learn from: everything is ``und``.  Repeated rows: each counts.
 Empty table: empty result.  Other columns are ignored.
 """
@@ -95,7 +97,7 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """langs[i] is the language of centroids[i]; a cosine under limits[i] is a rejection."""
+    """langs[i] is the language of centroids[i]; of a text of 2**k to 2**(k+1) distinct n-grams a cosine under limits[k] is a rejection."""
 
     langs: list[str]
     centroids: np.ndarray
@@ -115,10 +117,34 @@ class LanguageModel:
             value = np.clip(cosine[np.arange(b - a), best], 0, 1)
             langs += [self.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist())]
             scores[a:b] = np.where(lettered, value, 0)
-            rejected[a:b] = ~lettered | (value < self.limits[best])
+            rejected[a:b] = ~lettered | (value < self.limits[_length(counts)])
         return langs, scores, rejected
 
 
+def _length(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(1, np.count_nonzero(counts, axis=1))).astype(np.int64)
+
+
+def length_limits(lengths: np.ndarray, cosines: np.ndarray, share: float, slack: float, least: int = 30) -> np.ndarray:
+    """Limits by length: ``slack`` times the cosine that all but ``share`` of the documents of that length reach.
+
+    Lengths with fewer than ``least`` documents: longer ones take the limit of the next shorter length, shorter ones a third of the
+    shortest's.
+    """
+    out = np.full(1 + FEATURES.bit_length(), np.nan)
+    for k in range(len(out)):
+        mine = cosines[lengths == k]
+        if len(mine) >= least:
+            out[k] = slack * np.quantile(mine, share)
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        return np.zeros(len(out))
+    out[: known[0]] = out[known[0]] / 3
+    for k in range(known[0] + 1, len(out)):
+        out[k] = out[k - 1] if np.isnan(out[k]) else out[k]
+    return out
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit rows, started far from each other."""
     start = [int(np.argmax(x @ x.mean(axis=0)))]
@@ -169,27 +195,29 @@ def _add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["df"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, centroids: int = 4, fit_docs: int = 1500, slack: float = 0.15, seed: int = 11) -> LanguageModel:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, centroids: int = 4, fit_docs: int = 1500, slack: float = 0.75, share: float = 0.001, seed: int = 11, id_col: str | None = "doc_id") -> LanguageModel:
     """Learns from the rows with a language (and ``where``).
 
     fit_docs: documents a language whose vectors are clustered, on average.
-    slack: a text is rejected below this share of the cosine that 99 of 100 sampled documents of a centroid reach.
+    slack, share: a text is rejected below ``slack`` times the cosine that all but ``share`` of the sampled documents of its length reach.
+    id_col: a column that, with the text, decides what is sampled; it is no input of a prediction.
     """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     if where is not None:
         known = known.where(where)
-    known = known.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{text_col}`"), *([F.col(f"`{id_col}`")] if id_col in docs.columns else [])), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    known = known.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), chance.alias("chance"))
     sizes = dict(known.groupBy("lang").count().collect())
     if not sizes:
-        return LanguageModel([], np.zeros((0, FEATURES), np.float32), np.ones(FEATURES, np.float32), np.zeros(0))
-    share = F.coalesce(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, fit_docs / n))])[F.col("lang")], F.lit(0.0))
-    found = written(known.withColumn("picked", F.rand(seed) < share).mapInArrow(_count, _FIT), "languages")
+        return LanguageModel([], np.zeros((0, FEATURES), np.float32), np.ones(FEATURES, np.float32), np.zeros(1 + FEATURES.bit_length()))
+    picked = F.coalesce(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, fit_docs / n))])[F.col("lang")], F.lit(0.0))
+    found = written(known.withColumn("picked", F.col("chance") < picked).mapInArrow(_count, _FIT), "languages")
     parts = found.where("df is not null").select("df")
     df = np.zeros(FEATURES + 1, np.int64)
     for (m,) in parts.repartition(64).mapInArrow(_add, "df binary").collect():  # 64 vectors at most
         df += np.frombuffer(m, np.int64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(1)
-    names, cents, limits = [], [], []
+    names, cents, lengths, cosines = [], [], [], []
     sample = found.where("cells is not null")
     for lang in sorted(sizes):  # the driver holds one language's sample at a time
         cells = sorted(m for (m,) in sample.where(F.col("lang") == lang).select("cells").collect())
@@ -201,15 +229,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
             rows[i, np.frombuffer(m, np.int32, n)] = np.frombuffer(m, np.float32, n, 4 * n)
         x = _weigh(rows, idf)
         c = spherical_kmeans(x, centroids)
-        cosine = x @ c.T
-        own = cosine.argmax(axis=1)
-        for j in range(len(c)):
-            mine = cosine[own == j, j]
-            if len(mine):
-                names.append(lang)
-                cents.append(c[j])
-                limits.append(slack * float(np.quantile(mine, 0.01)))
-    return LanguageModel(names, np.array(cents, np.float32).reshape(-1, FEATURES), idf, np.array(limits))
+        used = np.unique((x @ c.T).argmax(axis=1))
+        names += [lang] * len(used)
+        cents.append(c[used])
+        for half in (0, 1):  # cosines with centroids that were learned without the document
+            other, mine = x[1 - half :: 2], x[half::2]
+            if len(other) and len(mine):
+                cosines.append((mine @ spherical_kmeans(other, centroids, 6).T).max(axis=1))
+                lengths.append(_length(rows[half::2]))
+    limits = length_limits(np.concatenate([[0], *lengths])[1:], np.concatenate([[0.0], *cosines])[1:], share, slack)
+    return LanguageModel(names, np.concatenate([np.zeros((0, FEATURES)), *cents]).astype(np.float32), idf, limits)
 
 
 def _predict(model: LanguageModel):

@@ -459,7 +459,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if placed.isEmpty():
             break
         number += 1
-        left = owned.join(again, "doc_id", "left_semi").select(dealt(width, 4, "doc_id").alias("bucket"), "doc_id", "component", "shingles").repartition(width, "bucket")
+        left = dealt(owned.join(again, "doc_id", "left_semi").select("doc_id", "component", "shingles"), width, 4, "doc_id")
         more = _round(left, width, shingle, percent, trees, number)
         comp = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
         extra = more.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
