@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -61,13 +61,13 @@ def cell_centre(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     return (x + 0.5) / n * 360.0 - 180.0, F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1.0 - 2.0 * (y + 0.5) / n))))
 
 
-def utm_xy(lon: np.ndarray, lat: np.ndarray, zone: int) -> tuple[np.ndarray, np.ndarray]:
-    """Transverse Mercator of one zone (Krueger series, WGS 84)."""
+def utm_xy(lon: np.ndarray, lat: np.ndarray, zone: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transverse Mercator of one zone, or of a zone a point (Krueger series, WGS 84)."""
     f = 1 / 298.257223563
     n = f / (2 - f)
     a = EARTH / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    phi, lam = np.radians(lat), np.radians(lon) - math.radians(zone * 6 - 183)
+    phi, lam = np.radians(lat), np.radians(lon) - np.radians(zone * 6.0 - 183.0)
     k = 2 * math.sqrt(n) / (1 + n)
     t = np.sinh(np.arctanh(np.sin(phi)) - k * np.arctanh(k * np.sin(phi)))
     xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
@@ -80,20 +80,32 @@ def ring_area(xs: np.ndarray, ys: np.ndarray) -> float:
     return abs(float(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1)))) / 2
 
 
-@F.pandas_udf(DoubleType())
-def utm_area(rings: pd.Series) -> pd.Series:
-    """Square metres of a ring of ``struct<x,y>`` in the zone of its centroid; 0 for null or fewer than 3 vertices."""
-
-    def one(ring) -> float:
-        if ring is None or len(ring) < 3:
-            return 0.0
-        p = np.array([(v["x"], v["y"]) for v in ring], float)
-        if not np.isfinite(p).all():
-            return 0.0
-        zone = min(60, max(1, int((p[:, 0].mean() + 180) // 6) + 1))
-        return ring_area(*utm_xy(p[:, 0], p[:, 1], zone))
-
-    return rings.map(one)
+@F.arrow_udf(DoubleType())
+def utm_area(rings: pa.Array) -> pa.Array:
+    """Square metres of a ring of ``struct<x,y>`` in the zone of its centroid; 0 for null, fewer than 3 vertices or a null vertex."""
+    n = np.diff(rings.offsets.to_numpy().astype(np.int64)) if len(rings) else np.zeros(0, np.int64)
+    n = np.where(np.asarray(rings.is_null()), 0, n)
+    flat = rings.flatten()
+    x, y = (np.asarray(flat.field(k).to_numpy(zero_copy_only=False), float) for k in (0, 1))
+    row = np.repeat(np.arange(len(n)), n)
+    bad = np.bincount(row, ~(np.isfinite(x) & np.isfinite(y)), len(n)) > 0
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    mean = np.bincount(row, x, len(n)) / np.maximum(n, 1)
+    zone = np.clip((mean + 180) // 6 + 1, 1, 60)
+    east, north = utm_xy(x, y, zone[row])
+    after = np.arange(len(row)) + 1
+    last = np.cumsum(n)[n > 0] - 1
+    after[last] = last - n[n > 0] + 1
+    east, north = east - np.repeat(_firsts(east, n), n), north - np.repeat(_firsts(north, n), n)  # near the origin: no digits lost
+    area = np.abs(np.bincount(row, east * north[after] - north * east[after], len(n))) / 2
+    return pa.array(np.where((n < 3) | bad, 0.0, area))
+
+
+def _firsts(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first value of every run of n[i] values, 0 for an empty one."""
+    out = np.zeros(len(n))
+    out[n > 0] = v[(np.cumsum(n) - n)[n > 0]]
+    return out
 
 
 def quad_address(x0: Column, y0: Column, x1: Column, y1: Column, levels: int = 24) -> Column:

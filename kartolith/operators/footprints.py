@@ -23,12 +23,15 @@ def footprints(points: DataFrame, grid: tiles.Grid = tiles.FOOTPRINT, zooms: lis
     return tiles.pyramid(tiles.points_to_cells(points, grid, "key"), grid, "key", zooms=zooms)
 
 
-def update(stored: DataFrame, committed: DataFrame, points: DataFrame, grid: tiles.Grid, zooms: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, committed) after adding points with a ``sequence``; a sequence a tile holds already adds nothing."""
-    fresh = tiles.pyramid(tiles.points_to_cells(points, grid, "key", "sequence"), grid, "key", "sequence", zooms=zooms)
+def update(stored: DataFrame, committed: DataFrame, points: DataFrame, grid: tiles.Grid, zooms: list[int] | None = None, keep: int = tiles.KEEP_SEQUENCES, value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, committed) after adding points with a ``sequence`` (``value``: a column to add up instead of rows); a sequence a tile holds already adds nothing.
+
+    Of the sequences of a tile the newest ``keep`` stay in ``committed``.
+    """
+    fresh = tiles.pyramid(tiles.points_to_cells(points, grid, "key", "sequence", value=F.col(value) if value else None), grid, "key", "sequence", zooms=zooms)
     fresh = tiles.uncommitted(fresh, committed)
     known = committed.select("z", "x", "y", "sequence").union(fresh.select("z", "x", "y", "sequence")).distinct()
-    return tiles.merge_cells(stored, fresh, "key"), known
+    return tiles.merge_cells(stored, fresh, "key"), tiles.newest_sequences(known, keep)
 
 
 def target_points(nodes: DataFrame, changeset_hashtags: DataFrame, users: DataFrame | None = None, hashtags: DataFrame | None = None, by: str = "user") -> DataFrame:

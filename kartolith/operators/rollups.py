@@ -45,3 +45,27 @@ def statistics(changesets: DataFrame, *keys: str, measure_maps: tuple[str, ...]
     for m in measure_maps:
         out = out.join(as_map(map_sums(changesets, m, *keys), m, *keys), list(keys), "left")
     return out
+
+
+def listing(rows: DataFrame, keys: list[str], by: str, name: str, most: int | None = None) -> DataFrame:
+    """keys and ``name``: an array of (name, n) by name, or the ``most`` frequent ones, most frequent first."""
+    counts = rows.groupBy(*keys, by).agg(F.count("*").alias("n"))
+    if most is None:
+        return counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("name"), "n"))).alias(name))
+    top_rows = counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), by))).where(F.col("place") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.col(by).alias("name"), "n")))
+    return top_rows.groupBy(*keys).agg(F.transform(ordered, lambda e: F.struct(e["name"].alias("name"), e["n"].alias("n"))).alias(name))
+
+
+def profile(changesets: DataFrame, *keys: str, countries: DataFrame | None = None, hashtags: DataFrame | None = None, top_hashtags: int = 50) -> DataFrame:
+    """The whole view of the keys: totals, edit_times (changesets by day), editors, countries and the most used hashtags."""
+    by = list(keys)
+    parts = [listing(changesets.withColumn("day", F.to_date("created_at")), by, "day", "edit_times"), listing(changesets, by, "editor", "editors")]
+    if countries is not None:
+        parts.append(listing(changesets.join(countries, "changeset"), by, "country", "countries"))
+    if hashtags is not None:
+        parts.append(listing(changesets.join(hashtags, "changeset"), by, "hashtag", "hashtags", top_hashtags))
+    out = totals(changesets, *keys)
+    for p in parts:
+        out = out.join(p, by, "left")
+    return out

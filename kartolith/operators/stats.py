@@ -74,6 +74,14 @@ def long_counts(edits: DataFrame, keys: tuple[str, ...] = ("changeset",), measur
     return wide.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.key", "e.value").where("value <> 0")
 
 
+def long_measures(edits: DataFrame, keys: tuple[str, ...] = ("changeset",)) -> DataFrame:
+    """keys, name, value: counts and measurements together, without building maps."""
+    wide = _flagged(edits, keys).groupBy(*keys).agg(*_sums())
+    entry = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value"))
+    entries = F.array(*[entry(n, f"c_{n}") for n in COUNTS], *[entry(n, f"m_{n}") for n in MEASURES])
+    return wide.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.name", "e.value").where("value <> 0")
+
+
 def long_form(stats: DataFrame, column: str, keys: tuple[str, ...] = ("changeset",)) -> DataFrame:
     return stats.select(*keys, F.explode(column).alias("key", "value"))
 

@@ -1,7 +1,8 @@
 """Tables that are updated once per sequence however often it is replayed.
 
 A table is a folder of numbered Parquet snapshots and a pointer, swapped after the new snapshot is
-complete; merges are joins and aggregations, so any number of rows may change at once.
+complete; merges are joins and aggregations, so any number of rows may change at once.  A table that
+must move with another follows it: one pointer names the snapshots of both, so a crash leaves both old or both new.
 """
 
 from __future__ import annotations
@@ -17,23 +18,42 @@ class SnapshotTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.leader: SnapshotTable | None = None
 
-    def version(self) -> int:
+    def follow(self, leader: SnapshotTable) -> None:
+        """From now on the leader's pointer names this table's snapshot, too."""
+        self.leader = leader
+
+    def _pointer(self) -> tuple[int, int]:
         try:
-            return self.spark.read.schema("version long").parquet(f"{self.path}/_pointer_*").agg(F.max("version")).first()[0] or 0
+            newest = self.spark.read.schema("version long, follower long").parquet(f"{self.path}/_pointer_*").agg(F.max(F.struct("version", F.coalesce("follower", F.lit(0)).alias("follower"))).alias("p"))
+            found = newest.first()[0]
+            return (found.version, found.follower) if found else (0, 0)
         except AnalysisException:
-            return 0
+            return 0, 0
+
+    def version(self) -> int:
+        return self.leader._pointer()[1] if self.leader else self._pointer()[0]
 
     def read(self) -> DataFrame:
         v = self.version()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
 
-    def replace(self, df: DataFrame) -> int:
-        v = self.version() + 1
+    def replace(self, df: DataFrame, follower: SnapshotTable | None = None, rows: DataFrame | None = None) -> int:
+        """Swaps in df; with a follower, its rows in the same step."""
+        v, f = self._pointer()
+        v += 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_pointer_{v}")
+        if follower is not None:
+            f += 1
+            rows.write.mode("overwrite").parquet(f"{follower.path}/v{f}")
+        self._swap(v, f)
         return v
 
+    def _swap(self, version: int, follower: int) -> None:
+        pointer = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(follower).cast("long").alias("follower"))
+        pointer.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_pointer_{version}")
+
 
 def fresh_rows(new: DataFrame, applied: DataFrame, *keys: str) -> DataFrame:
     """Rows whose (keys, sequence) has not been applied."""
@@ -96,7 +116,46 @@ def split_errors(rows: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     return rows.where(ok), rows.where(~ok)
 
 
+_REFRESHING: set[str] = set()
+
+
 def refresh(view: DataFrame, table: SnapshotTable, name: str, stamps: DataFrame) -> DataFrame:
-    """Recomputes a view into its table and stamps it."""
-    table.replace(view)
+    """Recomputes a view into its table and stamps it; a view that this driver is refreshing already is left alone."""
+    if table.path in _REFRESHING:
+        return stamps
+    _REFRESHING.add(table.path)
+    try:
+        table.replace(view)
+    finally:
+        _REFRESHING.discard(table.path)
     return stamps.where(F.col("mat_view") != name).unionByName(stamps.sparkSession.range(1).select(F.lit(name).alias("mat_view"), F.current_timestamp().alias("updated_at")))
+
+
+def upsert_countries(stored: DataFrame | None, new: DataFrame, applied: DataFrame | None, countries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, applied): changeset, country_id, edit_count after adding rows (changeset, sequence, code, edit_count); unknown codes go."""
+    fresh = new if applied is None else fresh_rows(new, applied, "changeset")
+    named = fresh.join(countries.select(F.col("id").alias("country_id"), "code"), "code").select("changeset", "country_id", "edit_count")
+    both = named if stored is None else stored.unionByName(named)
+    known = fresh.select("changeset", "sequence")
+    return both.groupBy("changeset", "country_id").agg(F.sum("edit_count").alias("edit_count")), (known if applied is None else applied.select("changeset", "sequence").union(known)).distinct()
+
+
+def bridge_rows(pairs: DataFrame, named: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """changeset, hashtag_id once a pair, pairs stored before included."""
+    rows = pairs.join(named.select(F.col("id").alias("hashtag_id"), "hashtag"), "hashtag").select("changeset", "hashtag_id")
+    return (rows if stored is None else stored.select("changeset", "hashtag_id").union(rows)).distinct()
+
+
+def saved_sequence(checkpoints: DataFrame, process: str) -> int | None:
+    row = checkpoints.where(F.col("proc_name") == process).agg(F.max("sequence")).first()
+    return row[0]
+
+
+def log_errors(rows: DataFrame, path: str, reason: str) -> None:
+    """Appends failed rows with the reason and the time."""
+    rows.withColumns({"reason": F.lit(reason), "at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def write_partitions(df: DataFrame, path: str, writers: int = 64) -> None:
+    """df written by at most ``writers`` tasks at a time."""
+    df.repartition(writers).write.mode("append").parquet(path)

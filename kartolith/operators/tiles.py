@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -98,3 +98,34 @@ def remember_sequences(old: Column, new: Column, keep: int = KEEP_SEQUENCES) ->
     """Set union of two sequence arrays, the newest ``keep``."""
     union = F.array_sort(F.array_union(F.coalesce(old, F.array().cast("array<long>")), F.coalesce(new, F.array().cast("array<long>"))))
     return F.slice(union, F.greatest(F.size(union) - keep + 1, F.lit(1)), keep)
+
+
+def newest_sequences(committed: DataFrame, keep: int = KEEP_SEQUENCES) -> DataFrame:
+    """z, x, y, sequence: the newest ``keep`` of every tile."""
+    newest = Window.partitionBy("z", "x", "y").orderBy(F.desc("sequence"))
+    return committed.select("z", "x", "y", "sequence").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= keep).drop("n")
+
+
+def contents(rows: DataFrame, feature: str, largest: str | None = None) -> DataFrame:
+    """z, x, y, features: what a tile holds, in order, or those with the largest measure first."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col(largest)).alias("m"), feature) if largest else F.struct(feature)))
+    return rows.groupBy("z", "x", "y").agg(F.transform(order, lambda e: e[feature]).alias("features"))
+
+
+def load(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tiles (z, x, y) of a list with their contents, null where the table has none."""
+    return asked.select("z", "x", "y").distinct().join(table, ["z", "x", "y"], "left")
+
+
+def bundles(table: DataFrame, zoom: int, levels: int) -> DataFrame:
+    """bundle, tiles: the tiles of one zoom in Z order, those under one tile ``levels`` zooms up together."""
+    placed = table.where(F.col("z") == zoom).withColumn("code", geo.zorder(F.col("x"), F.col("y"), zoom))
+    inside = F.array_sort(F.collect_list(F.struct("code", "x", "y", "features")))
+    return placed.groupBy(F.shiftright("code", 2 * levels).alias("bundle")).agg(inside.alias("tiles"))
+
+
+def newest_first(features: DataFrame) -> DataFrame:
+    """z, x, y, features: the cells of ``vectorize`` by their last day, newest first, with that day; values as entries."""
+    day = F.array_max(F.transform(F.map_keys("values"), lambda k: text.base_key(k).cast("int")))
+    ordered = F.array_sort(F.collect_list(F.struct((-day).alias("order"), "cell", day.alias("last_day"), F.map_entries("values").alias("values"))))
+    return features.groupBy("z", "x", "y").agg(ordered.alias("features"))

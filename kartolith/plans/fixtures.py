@@ -77,3 +77,43 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = """r AS (SELECT vec_id AS id, vec_id % 2 AS side, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, abs(CAST(embedding[3] AS DOUBLE)) AS w, abs(CAST(embedding[4] AS DOUBLE)) AS h FROM embeddings)"""
+
+
+WAY_BASE = 10_000_000
+
+HISTORY = f"""nv AS (
+  SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, ts AS tm, event_id % 499 AS changeset, event_id % 7 AS uid, event_type AS kind, event_type <> 'error' AS visible,
+    CASE WHEN event_type <> 'error' THEN ((event_id * 7919) % 36000) / 100 - 180 END AS raw_lon, CASE WHEN event_type <> 'error' THEN ((event_id * 104729) % 17000) / 100 - 85 END AS raw_lat
+  FROM events WHERE event_type <> 'purchase'),
+nc AS (SELECT *, last_value(raw_lon IGNORE NULLS) OVER w AS lon, last_value(raw_lat IGNORE NULLS) OVER w AS lat, lead(tm) OVER (PARTITION BY id ORDER BY tm, version) AS until
+  FROM nv WINDOW w AS (PARTITION BY id ORDER BY tm, version ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+n AS (SELECT *, lon IS NOT DISTINCT FROM lag(lon) OVER o AND lat IS NOT DISTINCT FROM lag(lat) OVER o AS same FROM nc WINDOW o AS (PARTITION BY id ORDER BY tm, version)),
+w0 AS (SELECT {WAY_BASE} + user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, ts AS tm, event_id % 499 AS changeset, event_id % 7 AS uid, event_id % 50 <> 0 AS visible,
+    [user_id, user_id + 1, user_id + 2] AS nds, user_id % 4 AS kind
+  FROM events WHERE event_type = 'purchase' AND event_id % 10 < 3),
+w AS (SELECT *, lead(tm) OVER (PARTITION BY id ORDER BY tm, version) AS until FROM w0)"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as element versions: a purchase (three in ten) makes a way version over three nodes, anything else a node version."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    one = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    alive = F.col("event_type") != "error"
+    common = [(F.col("event_id") % 499).alias("changeset"), F.col("ts").alias("timestamp"), (F.col("event_id") % 7).alias("uid")]
+    version = F.row_number().over(order).cast("long").alias("version")
+    nodes = e.where("event_type <> 'purchase'").select(
+        F.col("user_id").alias("id"), F.lit("node").alias("type"),
+        F.when(F.col("event_type") == "click", one("amenity", "cafe")).when(F.col("event_type") == "view", one("railway", "station")).when(F.col("event_type") == "error", one("man_made", "pier")).otherwise(F.create_map().cast("map<string,string>")).alias("tags"),
+        F.when(alive, (F.col("event_id") * 104729) % 17000 / 100 - 85).alias("lat"), F.when(alive, (F.col("event_id") * 7919) % 36000 / 100 - 180).alias("lon"),
+        F.lit(None).cast("array<long>").alias("nds"), *common, version, alive.alias("visible"),
+    )
+    kind = F.col("user_id") % 4
+    ways = e.where("event_type = 'purchase' AND event_id % 10 < 3").select(
+        (F.col("user_id") + WAY_BASE).alias("id"), F.lit("way").alias("type"),
+        F.when(kind == 0, one("highway", "residential")).when(kind == 1, one("waterway", "river")).when(kind == 2, one("building", "yes")).otherwise(one("railway", "rail")).alias("tags"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array(F.col("user_id"), F.col("user_id") + 1, F.col("user_id") + 2).alias("nds"), *common, version, (F.col("event_id") % 50 != 0).alias("visible"),
+    )
+    return nodes.unionByName(ways)

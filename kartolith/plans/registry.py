@@ -637,3 +637,6 @@ def sequence_time_mapping(spark, sf):
 
 def entry(spark: SparkSession) -> DataFrame:
     return top_hashtags_per_country(spark, "/root/testdata/sf0.001")
+
+
+from . import elements  # noqa: E402, F401  registers the queries over histories, diffs, files, feeds and stores

@@ -1,7 +1,8 @@
 """Sequence-numbered feeds as a Python data source: bounded reads by sequence ranges, streams by offsets.
 
 A feed is a folder of files ``<sequence>.json`` with one JSON row a line.  Options: path, start_sequence,
-end_sequence (exclusive), batch_size (sequences a micro-batch), partitions.
+end_sequence (exclusive), batch_size (sequences a micro-batch), partitions.  The driver lists the folder to find the end of a
+run; tasks open the files of their range by number, a missing number is an empty sequence.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem
-
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 COLUMNS = "sequence long, type string, id long, version long, minor_version long, visible boolean, lon double, lat double, timestamp string, changeset long, uid long"
@@ -34,13 +35,16 @@ def available(path: str) -> list[int]:
 
 def _rows(path: str, part: _Range, names: list[str]) -> Iterator[tuple]:
     files, folder = _place(path)
-    for sequence in available(path):
-        if part.start <= sequence < part.end:
-            with files.open_input_stream(f"{folder}/{sequence}.json") as f:
-                for line in f.read().decode().split("\n"):
-                    if line.strip():
-                        row = json.loads(line)
-                        yield tuple(sequence if n == "sequence" else row.get(n) for n in names)
+    for sequence in range(part.start, part.end):
+        try:
+            stream = files.open_input_stream(f"{folder}/{sequence}.json")
+        except FileNotFoundError:
+            continue
+        with stream as f:
+            for line in f.read().decode().split("\n"):
+                if line.strip():
+                    row = json.loads(line)
+                    yield tuple(sequence if n == "sequence" else row.get(n) for n in names)
 
 
 class _Common:
@@ -117,3 +121,28 @@ class SequenceFeed(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SequenceFeed)
+
+
+def write_feed(lines: DataFrame, path: str) -> None:
+    """A feed of (sequence, line) rows: one file a sequence, written by the task that holds the sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _place(path)
+        files.create_dir(folder, recursive=True)
+        now, held = None, []
+
+        def flush() -> None:
+            if now is not None:
+                with files.open_output_stream(f"{folder}/{now}.json") as f:
+                    f.write("\n".join(held).encode())
+
+        for batch in batches:
+            for sequence, line in zip(batch.column("sequence").to_pylist(), batch.column("line").to_pylist()):
+                if sequence != now:
+                    flush()
+                    now, held = sequence, []
+                held.append(line)
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    lines.select("sequence", "line").repartition("sequence").sortWithinPartitions("sequence", "line").mapInArrow(run, "n long").count()

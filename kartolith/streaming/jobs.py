@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.time import time_of
-from ..operators import stores
+from ..operators import footprints, stores, tiles
 
 OPEN_HOURS = 25
 
@@ -34,20 +34,65 @@ def join_open_changesets(diffs: DataFrame, changesets: DataFrame, hours: int = O
     return d.join(c, (F.col("changeset") == F.col("id")) & window)
 
 
-def merge_into(table: stores.SnapshotTable, applied: stores.SnapshotTable, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: long (key, name, value, sequence) rows added once per sequence."""
+def merge_into(table: stores.SnapshotTable, applied: stores.SnapshotTable, key: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: long (key, name, value, sequence) rows, that ``prepare`` makes of a batch, added once per sequence.
+
+    Table and applied sequences move under one pointer, so a batch that is replayed after a crash finds both or neither.
+    """
+    applied.follow(table)
+
+    def run(batch: DataFrame, _: int) -> None:
+        rows = (prepare(batch) if prepare else batch).persist()
+        table.replace(*_both(stores.upsert_counts(table.read(), rows, applied.read(), key), applied))
+        rows.unpersist()
+
+    return run
+
+
+def _both(results: tuple[DataFrame, DataFrame], follower: stores.SnapshotTable) -> tuple[DataFrame, stores.SnapshotTable, DataFrame]:
+    return results[0], follower, results[1]
+
+
+def merge_countries(table: stores.SnapshotTable, applied: stores.SnapshotTable, countries: DataFrame) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: (changeset, sequence, code, edit_count) rows added once per sequence under the countries' identifiers."""
+    applied.follow(table)
+
+    def run(batch: DataFrame, _: int) -> None:
+        table.replace(*_both(stores.upsert_countries(table.read(), batch.persist(), applied.read(), countries), applied))
+        batch.unpersist()
+
+    return run
+
+
+def update_tiles(table: stores.SnapshotTable, committed: stores.SnapshotTable, prepare: Callable[[DataFrame], DataFrame], grid: tiles.Grid, facets: list[str] | None = None, keep: int = tiles.KEEP_SEQUENCES) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: points that ``prepare`` makes of a batch (key, lon, lat, sequence [, facets]) added to a tile table.
+
+    A sequence that a tile holds adds nothing; of a tile's sequences the newest ``keep`` are remembered.
+    """
+    committed.follow(table)
 
     def run(batch: DataFrame, _: int) -> None:
-        now, known = stores.upsert_counts(table.read(), batch, applied.read(), key)
-        now, known = now.persist(), known.persist()
-        now.count(), known.count()  # both from the state before this batch
-        table.replace(now)
-        applied.replace(known)
-        now.unpersist(), known.unpersist()
+        points = prepare(batch.persist())
+        cells, known = footprints.update(table.read(), committed.read(), tiles.facet_rows(points, facets) if facets else points, grid, keep=keep, value="value" if facets else None)
+        table.replace(cells, committed, known)
+        batch.unpersist()
 
     return run
 
 
+def with_checkpoint(run: Callable[[DataFrame, int], None], saved: stores.SnapshotTable, process: str) -> Callable[[DataFrame, int], None]:
+    """``run``, and then the batch's last sequence saved under the name of the process."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        run(batch.persist(), number)
+        last = batch.agg({"sequence": "max"}).first()[0]
+        if last is not None:
+            saved.replace(stores.save_checkpoint(saved.read(), process, last))
+        batch.unpersist()
+
+    return both
+
+
 def start(df: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, name: str, once: bool = True) -> StreamingQuery:
     writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 seconds")).start()
