@@ -169,7 +169,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int
     words = 0
     for item, text in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).toLocalIterator():
         raw = text.encode()
-        size = raw.count(b" ") + 1
+        size = len(raw.split())
         if block and (len(block) >= block_items or words + size > block_words):
             yield block
             block, words = [], 0

@@ -8,9 +8,10 @@ they travel as one overlapping segment.  Strings whose minimizer occurs once in
 repeat and stay at home; strings a bucket holds several times leave it once.
 
 In a task, multikey quicksort with 8-byte characters orders the suffixes to depth 16; groups that still
-agree are settled by blind tries, built a level at a time for all groups together: each suffix is
-compared with one leaf of its node, and branches by the depth and byte at which it leaves it.  Equal
-strings end in one leaf, whose least location survives.
+agree are ordered by blind tries, built a level at a time for all groups together: each suffix is
+compared with one leaf of its node, and branches by the depth and byte at which it leaves it.  The result is the suffix array of the
+task's strings with its LCPs; where the LCP reaches ``length``, the least location of the run survives.  Copies
+inside a bucket are found before that by a rolling hash and a comparison of the bytes, and are not sent.
 
 Null text: no bytes.  Very long texts: whole, in the bucket of their document.  Null id: the smallest.  Repeated ids: in the order of their texts, one after
 the other.  Texts shorter than ``length`` stay.  Empty table: empty result.  Other columns are ignored.
@@ -185,27 +186,46 @@ def _post(labels: np.ndarray, length: int, gram: int):
     return run
 
 
-def first_equal(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """For every suffix, the index of the first of those whose ``length`` bytes equal its own.
+def _first_byte(d: np.ndarray) -> np.ndarray:
+    """The place (0 to 7) of the first byte in which two big-endian characters with the difference ``d`` (not 0) differ."""
+    place = np.zeros(len(d), np.int64)
+    for bits in (32, 16, 8):
+        low = (d >> np.uint64(64 - bits)) == 0
+        place += np.where(low, bits // 8, 0)
+        d = np.where(low, d << np.uint64(bits), d)
+    return place
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``at``, cut at ``length`` bytes, in lexicographic order (equal ones by place in ``at``), and the LCP of each with
+    the one before it (0 for the first).
 
-    Deep-shallow sorting bounded at ``length``: quicksort to depth 16, then blind tries.
+    Deep-shallow sorting: multikey quicksort to depth 16, then blind tries.  A trie's node holds one leaf; of the others, the smaller ones
+    stand before it with the earlier branches first, the greater ones behind it with the later branches first.
     """
-    root = np.arange(len(at))
-    item = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
+    n = len(at)
+    order, lcp = np.empty(n, np.int64), np.zeros(n, np.int64)
+    item, group, base = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)  # base: the first place of the item's group
     for depth in (0, 8):  # shallow
+        if not len(item):
+            break
         key = words_at(data, at[item] + depth)
-        order = np.lexsort((key, group)) if depth else np.argsort(key)
-        key, item, group = key[order], item[order], group[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        item, group = item[~alone], group[~alone]
+        by = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
+        key, item, group, base = key[by], item[by], group[by], base[by]
+        fresh = np.append(True, group[1:] != group[:-1])
+        lead = np.flatnonzero(fresh)
+        place = base + np.arange(len(item)) - np.repeat(lead, np.diff(np.append(lead, len(item))))
+        order[place] = item
+        new = fresh | np.append(True, key[1:] != key[:-1])
+        split = np.flatnonzero(new & ~fresh)
+        lcp[place[split]] = depth + _first_byte(key[split] ^ key[split - 1])
+        item, group, base = _unsettled(item, new, place)
     while len(item):  # one level of every blind trie
-        lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        leaf = np.repeat(np.minimum.reduceat(item, lead), np.diff(np.append(lead, len(item))))
-        branch = np.full(len(item), -1, np.int64)
+        fresh = np.append(True, group[1:] != group[:-1])
+        lead = np.flatnonzero(fresh)
+        size = np.diff(np.append(lead, len(item)))
+        leaf = np.repeat(np.minimum.reduceat(item, lead), size)
+        code, branch = np.full(len(item), length * 256, np.int64), np.full(len(item), length, np.int64)
         open_ = np.flatnonzero(item != leaf)
         for o in [*range(16, length - 8, 8), length - 8]:
             if not len(open_):
@@ -213,26 +233,46 @@ def first_equal(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
             x, y = words_at(data, at[item[open_]] + o), words_at(data, at[leaf[open_]] + o)
             apart = np.flatnonzero(x != y)
             if len(apart):
-                d = x[apart] ^ y[apart]
-                byte = 7 - np.floor(np.log2(d.astype(np.float64))).astype(np.int64) // 8
-                wrong = (d >> ((7 - byte) * 8).astype(np.uint64)) == 0  # rounding up to the next power of two
-                byte += wrong
-                value = (x[apart] >> ((7 - byte) * 8).astype(np.uint64)) & np.uint64(255)
-                branch[open_[apart]] = (o + byte) * 256 + value.astype(np.int64)
-                open_ = open_[x == y]
-        settled = branch < 0
-        root[item[settled]] = leaf[settled]
-        item, group, branch = item[~settled], group[~settled], branch[~settled]
-        if not len(item):
-            break
-        key = group * (length * 256) + branch
-        order = np.argsort(key)
-        key, item = key[order], item[order]
-        new = np.ones(len(item), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        item, group = item[~alone], group[~alone]
+                x, y, which = x[apart], y[apart], open_[apart]
+                byte = _first_byte(x ^ y)
+                value = (x >> ((7 - byte) * 8).astype(np.uint64) & np.uint64(255)).astype(np.int64)
+                branch[which] = o + byte
+                code[which] = np.where(x < y, (o + byte) * 256 + value, length * 256 + 1 + (length - 1 - o - byte) * 256 + value)
+                keep = np.ones(len(open_), bool)
+                keep[apart] = False
+                open_ = open_[keep]
+        by = np.lexsort((item, code, group))
+        item, group, base, code, branch = item[by], group[by], base[by], code[by], branch[by]
+        place = base + np.arange(len(item)) - np.repeat(lead, size)
+        order[place] = item
+        new = fresh | np.append(True, code[1:] != code[:-1])
+        split = np.flatnonzero(new & ~fresh)
+        lcp[place[split]] = np.minimum(branch[split], branch[split - 1])
+        same = np.flatnonzero(~new & (branch == length))
+        lcp[place[same]] = length
+        deep = branch < length  # the leaf's class is settled
+        item, group, base = _unsettled(item, new, place, deep)
+    return order, lcp
+
+
+def _unsettled(item: np.ndarray, new: np.ndarray, place: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of groups of two at least, their groups and the groups' first places."""
+    lead = np.flatnonzero(new)
+    size = np.diff(np.append(lead, len(item)))
+    many = np.repeat(size > 1, size)
+    if among is not None:
+        many &= among
+    group = np.cumsum(new)[many]
+    return item[many], group, np.repeat(place[lead], size)[many]
+
+
+def first_equal(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For every suffix, the index of the first of those whose ``length`` bytes equal its own: runs of the suffix array whose LCP is ``length``."""
+    order, lcp = suffix_order(data, at, length)
+    root = np.empty(len(at), np.int64)
+    if len(at):
+        lead = np.flatnonzero((lcp < length) | (np.arange(len(at)) == 0))
+        root[order] = np.repeat(np.minimum.reduceat(order, lead), np.diff(np.append(lead, len(at))))
     return root
 
 

@@ -13,6 +13,7 @@ from kartolith.llm.html_extraction import main_text
 from kartolith.llm.language_id import Grams, identify, learn, length_limits, remainder, spherical_kmeans
 from kartolith.llm.near_dedup import allowed, near_dedup
 from kartolith.llm.substring_dedup import substring_dedup
+from kartolith.llm.suffix_dedup import suffix_order
 
 
 def thue_morse(n: int) -> tuple[str, str]:
@@ -170,3 +171,19 @@ def test_audit_of_an_index_with_gaps(spark, tmp_path):
     some = index.where("ordinal % 10 = 7")
     found = warc.audit(warc.merkle_tree(some, good), warc.merkle_tree(some, bad)).collect()
     assert [r.ordinal for r in found] == [7]  # the eighth record of the index is the 78th of the file
+
+
+@pytest.mark.parametrize("alphabet,n,length", [(2, 900, 24), (3, 500, 40), (1, 300, 32), (26, 800, 100), (2, 4000, 100)])
+def test_suffix_order_is_lexicographic(alphabet, n, length):
+    rng = np.random.default_rng(alphabet * n)
+    data = rng.integers(97, 97 + alphabet, n).astype(np.uint8)
+    data[n // 2 : n // 2 + n // 4] = data[: n // 4]
+    data[n // 4 : n // 4 + 30] = 255  # bytes over 127 order as unsigned
+    at = np.arange(len(data) - length)
+    order, lcp = suffix_order(data, at, length)
+    cut = [data[i : i + length].tobytes() for i in at]
+    assert order.tolist() == sorted(range(len(at)), key=lambda i: (cut[i], i))
+    for k in range(1, len(order)):
+        a, b = cut[order[k - 1]], cut[order[k]]
+        assert lcp[k] == next((i for i in range(length) if a[i] != b[i]), length)
+    assert suffix_order(data, at[:0], length)[0].tolist() == []
