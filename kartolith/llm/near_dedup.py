@@ -18,6 +18,10 @@ blocks.  So no two documents that share 4 values of an order stay uncompared, ho
 that shares no 4 values in any of 32 orders (1.5 in 10,000) is found by a leaf of 2 or 3 values where its surroundings are
 sparse.  ``exact`` compares all documents by a prefix-filter join instead, without a chance of a miss.
 
+A region of which one bucket alone holds more than ``LOCAL`` sets is thinned before the shuffle: sets that are linked with the bucket's
+first one there stay at home, and the region counts as dense.  So a family of near copies that a third of all rows belong to sends a
+few rows a bucket and order.
+
 All exchanges are packed (see ``_common``): texts move once, a leader's set moves once per bucket
 of documents that it meets, and no region's sets meet in one task; the full comparison sends a set once a pair of blocks.
 
@@ -35,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, dealt, discard, messages, null_ids, reduce_parts, replies_table, requests_table, utf8, written
+from ._common import DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, dealt, discard, messages, null_ids, pack_bits, reduce_parts, replies_table, requests_table, unpack_bits, utf8, written
 from ._hashing import BASE2, LOWER, mix, prefix, spans, windows, within, word_hashes, word_spans
 from .substring_dedup import _slices
 
 DEPTH, DEEP, LEAF, SHALLOW = 4, 4, 8, 2
+LOCAL = 16
+HOME = 2  # a message that a bucket sends itself
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _NODE = "doc_id long, n_shingles long, d1 long, d2 long, links array<long>, regions array<long>, shingles binary"
 _NODE_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64())), ("shingles", pa.binary())])
@@ -130,7 +136,7 @@ def allowed(values: int, percent: int) -> int:
     return math.ceil(m * p + 6 * math.sqrt(m * p * (1 - p))) + 1
 
 
-def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
+def _forest(labels: np.ndarray, size: int, percent: int, trees: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         bucket, ids, component, sh, so = _load(table, size)
         n = np.diff(so)
@@ -153,21 +159,57 @@ def _forest(labels: np.ndarray, size: int, trees: int, seed: int):
             for j in range(DEEP):
                 lo = (lo << np.uint64(8)) | (sig[((t + 1) * DEPTH + j) % len(sig)] & np.uint64(255))
             deep[t] = lo
-        keys, deep, doc = keys.ravel(), deep.ravel(), np.tile(np.arange(len(own)), trees)
+        post, heavy, home = _thin(keys, ids, sh, so, own, percent)
+        rows = [(int(labels[bucket % len(labels)]), bucket, HOME, home)] if home else []
+        keys, deep, heavy, doc = keys[post], deep[post], heavy[post], np.tile(np.arange(len(own)), (trees, 1))[post]
         by = np.argsort(keys)
-        keys, deep, doc = keys[by], deep[by], doc[by]
-        rows = []
+        keys, deep, heavy, doc = keys[by], deep[by], heavy[by], doc[by]
         for part, a, b in _slices(keys, labels):
             used, index = np.unique(doc[a:b], return_inverse=True)
             which = own[used]
             index = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
             head = np.array([b - a, len(used), index.itemsize], np.int64)
-            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], component[which], d1[which], s1[used], s2[used], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index))))
+            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], component[which], d1[which], s1[used], s2[used], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index)) + pack_bits(heavy[a:b])))
         return requests_table(rows)
 
     return run
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _thin(keys: np.ndarray, ids: np.ndarray, sh: np.ndarray, so: np.ndarray, own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Which keys (a row an order) to post, which of them speak for a region that is dense in this bucket, and, for the bucket itself, the links
+    found and the regions of all members."""
+    post, heavy = np.ones(keys.shape, bool), np.zeros(keys.shape, bool)
+    known: dict[tuple[int, int], bool] = {}
+    regions, members = [], []
+    for t in range(len(keys)):
+        by = np.argsort(keys[t], kind="stable")
+        cuts = np.flatnonzero(np.append(_same(keys[t][by]), True))
+        for k in np.flatnonzero(np.diff(cuts) > LOCAL).tolist():
+            inside = np.sort(by[cuts[k] : cuts[k + 1]])
+            first = int(inside[0])
+            heavy[t, inside] = True
+            regions.append(np.full(len(inside), keys[t, first]))
+            members.append(own[inside])
+            for i in inside[1:].tolist():
+                if (first, i) not in known:
+                    x, y = own[first], own[i]
+                    known[first, i] = linked(sh[so[x] : so[x + 1]], sh[so[y] : so[y + 1]], percent)
+                post[t, i] = not known[first, i]
+    pairs = np.array([p for p, yes in known.items() if yes], np.int64).reshape(-1, 2)
+    if not regions:
+        return post, heavy, b""
+    flat = np.concatenate(members)
+    return post, heavy, np.array([len(pairs), len(flat)], np.int64).tobytes() + own[pairs].astype(np.int64).tobytes() + np.concatenate(regions).tobytes() + flat.astype(np.int64).tobytes()
+
+
 def _same(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     """Where sorted keys begin a new group."""
     new = np.append(True, x[1:] != x[:-1])
@@ -179,8 +221,12 @@ def _same(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
 def _regions(percent: int, differ: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        cols: list[list[np.ndarray]] = [[] for _ in range(10)]
-        for bucket, _, m in messages(table):
+        cols: list[list[np.ndarray]] = [[] for _ in range(11)]
+        got = messages(table)
+        out = [(bucket, part, HOME, m) for bucket, kind, m in got if kind == HOME]
+        for bucket, kind, m in got:
+            if kind == HOME:
+                continue
             n, u, width = np.frombuffer(m, np.int64, 3).tolist()
             keys, at = np.frombuffer(m, np.uint64, n, 24), 24 + 8 * n
             ids, comp = np.frombuffer(m, np.int64, 2 * u, at).reshape(2, u)
@@ -189,19 +235,23 @@ def _regions(percent: int, differ: int):
             deep = np.frombuffer(m, np.uint32, n, at)
             which, sizes = np.frombuffer(m, np.uint32, 2 * u, at + 4 * n).reshape(2, u)
             index = np.frombuffer(m, np.uint16 if width == 2 else np.uint32, n, at + 4 * n + 8 * u)
-            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index], s1[index], s2[index])):
+            heavy = unpack_bits(m[at + 4 * n + 8 * u + width * n :], n)
+            for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index], s1[index], s2[index], heavy)):
                 c.append(v)
+        if not cols[0]:
+            return replies_table(out)
         every = [np.concatenate(c) for c in cols]
         order = np.argsort(every[0], kind="stable")
         start = np.flatnonzero(_same(every[0][order] >> np.uint64(14 * (DEPTH - SHALLOW))))
         count = np.diff(np.append(start, len(order)))
         order = order[np.repeat(count > 1, count)]  # alone in its region: nothing to compare
         if not len(order):
-            return replies_table([])
+            return replies_table(out)
         order = order[np.lexsort(tuple(every[k][order] for k in (2, 3, 1, 0)))]
         every = [c[order] for c in every]
         fresh = _same(every[0], every[3])  # equal sets: the smallest speaks for all
-        key, deep, ids, _, bucket, which, sizes, comp, s1, s2 = (c[fresh] for c in every)
+        hot = np.logical_or.reduceat(every[10], np.flatnonzero(fresh))
+        key, deep, ids, _, bucket, which, sizes, comp, s1, s2, _ = (c[fresh] for c in every)
         leaf = np.full(len(key), -1, np.int64)
         left, right, dense = [], [], np.zeros(len(key), bool)
         for level in range(SHALLOW, DEPTH + DEEP + 1):
@@ -220,7 +270,7 @@ def _regions(percent: int, differ: int):
                 left.append(many[first][np.cumsum(_same(group[many])) - 1] if len(many) else many)
                 right.append(many)
             if level == DEPTH:
-                dense[many] = True
+                dense[np.flatnonzero(((count > LEAF) | np.logical_or.reduceat(hot, start))[group])] = True
         for step in range(1, LEAF):
             a = np.flatnonzero((leaf[:-step] == leaf[step:]) & (leaf[step:] >= 0))
             left.append(a)
@@ -232,7 +282,6 @@ def _regions(percent: int, differ: int):
         a, x = a[ok], x[ok]
         swap = ids[a] > ids[x]
         a, x = np.where(swap, x, a), np.where(swap, a, x)
-        out = []
         pairs = np.unique(np.stack([bucket[a], which[a].astype(np.int64), bucket[x], which[x].astype(np.int64)], axis=1), axis=0)
         cuts = np.flatnonzero(_same(pairs[:, 0])) if len(pairs) else np.empty(0, np.int64)
         for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(pairs)).tolist()):
@@ -253,7 +302,7 @@ def _send_sets(size: int):
             return requests_table([])
         got = messages(right)
         bucket = int(left.column("bucket")[0].as_py())
-        rows = [(bucket, bucket, MEMO, m) for _, kind, m in got if kind == MEMO]
+        rows = [(bucket, bucket, kind, m) for _, kind, m in got if kind in (MEMO, HOME)]
         asked = [np.frombuffer(m, np.int32).reshape(-1, 3) for _, kind, m in got if kind == DATA]
         if not asked:
             return requests_table(rows)
@@ -281,6 +330,13 @@ def _confirm(size: int, percent: int, first_round: bool):
         links: dict[int, set[int]] = {}
         regions: dict[int, set[int]] = {}
         for _, kind, m in messages(right):
+            if kind == HOME:
+                k, u = np.frombuffer(m, np.int64, 2).tolist()
+                for i, j in np.frombuffer(m, np.int64, 2 * k, 16).reshape(-1, 2).tolist():
+                    links.setdefault(j, set()).add(int(ids[i]))
+                for r, i in zip(np.frombuffer(m, np.int64, u, 16 + 16 * k).tolist(), np.frombuffer(m, np.int64, u, 16 + 16 * k + 8 * u).tolist()):
+                    regions.setdefault(i, set()).add(r)
+                continue
             if kind == MEMO:
                 k = int(np.frombuffer(m, np.int64, 1)[0])
                 for r, i in zip(np.frombuffer(m, np.int64, k, 8).tolist(), np.frombuffer(m, np.uint32, k, 8 + 8 * k).tolist()):
@@ -291,11 +347,7 @@ def _confirm(size: int, percent: int, first_round: bool):
             sets = np.frombuffer(m, np.uint64, int(sizes.sum()), 16 + 16 * (u + k))
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             for j, i in zip(index.tolist(), mine.tolist()):
-                a, b = sets[cuts[j] : cuts[j + 1]], sh[so[i] : so[i + 1]]
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
+                if linked(sets[cuts[j] : cuts[j + 1]], sh[so[i] : so[i + 1]], percent):
                     links.setdefault(i, set()).add(int(theirs[j]))
         for i in np.flatnonzero((own >= 0) & (own != np.arange(len(own)))).tolist():
             links.setdefault(i, set()).add(int(ids[own[i]]))
@@ -332,7 +384,7 @@ def _round(rows: DataFrame, width: int, shingle: int, percent: int, trees: int,
     """One forest over buckets of texts (number 0) or of stored sets."""
     labels = balanced_labels(width, 1)
     grouped = rows.groupBy("bucket")
-    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, trees, 7919 + number), REQUEST), width, _regions(percent, allowed(trees * DEPTH, percent)))
+    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, percent, trees, 7919 + number), REQUEST), width, _regions(percent, allowed(trees * DEPTH, percent)))
     sets = grouped.cogroup(pairs.groupBy("bucket")).applyInArrow(_send_sets(shingle), REQUEST).repartition(width, "part")
     return written(grouped.cogroup(sets.groupBy("part")).applyInArrow(_confirm(shingle, percent, not number), _NODE), "nodes")
 

@@ -187,3 +187,14 @@ def test_suffix_order_is_lexicographic(alphabet, n, length):
         a, b = cut[order[k - 1]], cut[order[k]]
         assert lcp[k] == next((i for i in range(length) if a[i] != b[i]), length)
     assert suffix_order(data, at[:0], length)[0].tolist() == []
+
+
+def test_regions_thinned_in_their_bucket(spark, monkeypatch):
+    """Families that are dense within single buckets: the same components as by the exact join."""
+    from kartolith.llm import near_dedup as module
+
+    texts = family(260, (0, 6), 11) + [(1000 + i, t) for i, t in family(120, (4, 6), 12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    exact = {r.doc_id: r.component_id for r in near_dedup(df, exact=True).collect()}
+    monkeypatch.setattr(module, "LOCAL", 2)
+    assert {r.doc_id: r.component_id for r in near_dedup(df).collect()} == exact
