@@ -1,4 +1,8 @@
-"""Country lookup: points in polygons by a grid-cell equi join and an exact ray cast."""
+"""Country lookup: points in polygons by a grid-cell equi join, and an exact ray cast where a border runs through the cell.
+
+Cells inside a country carry its row alone; polygons are joined to the points of border cells only, by the country's key.  Both
+tables are small beside the points, and AQE turns the joins into broadcasts when their measured size allows it.
+"""
 
 from __future__ import annotations
 
@@ -21,22 +25,32 @@ def inside(lon: Column, lat: Column, ring: Column) -> Column:
     return F.coalesce(step, F.lit(False))
 
 
+def _covered(lon: Column, lat: Column) -> Column:
+    """Whether a polygon of ``polygons`` holds the point; holes do not count."""
+    return F.exists("polygons", lambda rings: F.aggregate(rings, F.lit(False), lambda acc, ring: acc != inside(lon, lat, ring)))
+
+
 def cover(countries: DataFrame, size: float) -> DataFrame:
-    """Countries with one row per grid cell of ``size`` degrees that their bounds touch (rings: polygons of rings)."""
+    """country, cx, cy, border: the cells of ``size`` degrees that a country (country, polygons) fills, or that its border may touch."""
+    edges = countries.select("country", F.explode(F.flatten("polygons")).alias("ring")).select("country", F.posexplode("ring").alias("i", "p"), "ring")
+    edges = edges.select("country", "p", F.element_at("ring", (F.col("i") + 1) % F.size("ring") + 1).alias("q"))
+    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+    border = edges.withColumn("cx", F.explode(cells(F.col("p.x"), F.col("q.x")))).withColumn("cy", F.explode(cells(F.col("p.y"), F.col("q.y")))).select("country", "cx", "cy").distinct()
     points = F.flatten(F.flatten("polygons"))
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    bounds = countries.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-    return bounds.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    every = countries.withColumn("cx", F.explode(cells(F.array_min(xs), F.array_max(xs)))).withColumn("cy", F.explode(cells(F.array_min(ys), F.array_max(ys))))
+    filled = every.join(border, ["country", "cx", "cy"], "left_anti").where(_covered((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size))
+    return border.withColumn("border", F.lit(True)).unionByName(filled.select("country", "cx", "cy", F.lit(False).alias("border")))
 
 
-def lookup(points: DataFrame, countries: DataFrame, size: float = 10.0) -> DataFrame:
+def lookup(points: DataFrame, countries: DataFrame, size: float = 2.0) -> DataFrame:
     """points with lon, lat joined to the countries (code, polygons) that cover them; holes do not count."""
-    grid = cover(countries, size)
-    cells = points.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
-    near = cells.join(grid, ["cx", "cy"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    covered = F.exists("polygons", lambda rings: F.aggregate(rings, F.lit(False), lambda acc, ring: acc != inside(F.col("lon"), F.col("lat"), ring)))
-    return near.where(covered).drop("cx", "cy", "x0", "x1", "y0", "y1", "polygons")
+    known = countries.withColumn("country", F.xxhash64(*countries.columns))
+    grid = cover(known.select("country", "polygons").distinct(), size)
+    near = points.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)}).join(grid, ["cx", "cy"]).drop("cx", "cy")
+    shapes = known.select(F.col("country").alias("shape"), "polygons").distinct()
+    tried = near.join(known.drop("polygons"), "country").join(shapes, F.when(F.col("border"), F.col("country")) == F.col("shape"), "left")
+    return tried.where(~F.col("border") | _covered(F.col("lon"), F.col("lat"))).drop("polygons", "shape", "border", "country")
 
 
 def geocode(rows: DataFrame, key: str, countries: DataFrame, size: float = 10.0) -> DataFrame:

@@ -545,3 +545,38 @@ def building_shares(spark, sf):
     from .registry import QUERIES
 
     return QUERIES["building_similarity"](spark, sf).select("a_id", "b_id", F.round("min_share", 5).alias("min_share"), F.round("max_share", 5).alias("max_share"))
+
+
+@query(
+    f"""WITH {fx.BOXES}, {_NEAR}, q AS (SELECT a_id, b_id, a.x AS ax, a.y AS ay, b.x AS px, b.y AS py, floor(a.x / 0.5) AS i, floor(a.y / 0.5) AS j FROM n JOIN r a ON a.id = a_id JOIN r b ON b.id = b_id),
+k AS (SELECT x AS cx, y AS cy, floor(x / 0.5) AS i, floor(y / 0.5) AS j FROM r WHERE id % 10 = 0),
+d AS (SELECT *, sqrt(power(ax - cx, 2) + power(ay - cy, 2)) AS d1, sqrt(power(px - cx, 2) + power(py - cy, 2)) AS d2 FROM q JOIN k USING (i, j)),
+s AS (SELECT i, j, a_id, b_id, sum(coalesce((((ax - cx) * (px - cx) + (ay - cy) * (py - cy)) / nullif(d1 * d2, 0) + 1) / 2 * least(d1, d2) / nullif(greatest(d1, d2), 0), 0)) AS t FROM d GROUP BY ALL)
+SELECT a_id, b_id, round(t / max(t) OVER (PARTITION BY i, j), 6) AS support FROM s"""
+)
+def building_support(spark, sf):
+    """Relative similarities of near buildings over shared anchors, as shares of the greatest in a cell."""
+    r = fx.boxes(spark, sf)
+    pairs = matching.candidate_pairs(r.where("side = 0"), r.where("side = 1"), 0.05, 0.05)
+    return matching.anchor_support(pairs, r.where("id % 10 = 0"), 0.5).where("support is not null").select("a_id", "b_id", F.round("support", 6).alias("support"))
+
+
+@query(f"WITH {fx.BOXES} SELECT a.id AS a_id, b.id AS b_id FROM r a JOIN r b ON a.side = 0 AND b.side = 1 AND a.x - 0.01 <= b.x + b.w AND b.x <= a.x + a.w + 0.01 AND a.y - 0.01 <= b.y + b.h AND b.y <= a.y + a.h + 0.01")
+def near_buildings(spark, sf):
+    """Pairs of buildings whose envelopes are at most 0.01 apart, however large they are."""
+    left, right = _rings(spark, sf)
+    return matching.near_boxes(left, right, 0.01, 0.1)
+
+
+def _rings(spark, sf):
+    r = fx.boxes(spark, sf)
+    at = lambda dx, dy: F.struct((F.col("x") + dx * F.col("w")).alias("x"), (F.col("y") + dy * F.col("h")).alias("y"))
+    rings = r.select("id", "side", F.array(*[at(*d) for d in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"))
+    return tuple(matching.buildings(rings.where(f"side = {k}")) for k in (0, 1))
+
+
+@query()
+def building_probabilities(spark, sf):
+    """Shape scores and anchor support of all near pairs."""
+    left, right = _rings(spark, sf)
+    return matching.building_probabilities(left, right.unionByName(left.where("id % 10 = 0").withColumn("id", F.col("id") + 1_000_000)), 0.01, 0.1)

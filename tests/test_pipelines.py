@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kartolith.functions import geo
-from kartolith.operators import countries, pipelines, rollups, stores, tile_schemas, tiles
+from kartolith.operators import countries, matching, pipelines, rollups, stores, tile_schemas, tiles
 from kartolith.sources import feeds
 from kartolith.streaming import jobs
 
@@ -147,3 +147,17 @@ def test_writer_checkpoint_and_errors(spark, tmp_path):
     assert pipelines.checkpointed(lambda: df, "", False, spark).count() == 10
     saved = stores.save_checkpoint(spark.createDataFrame([("a", 1)], "proc_name string, sequence long"), "b", 4)
     assert stores.saved_sequence(saved, "b") == 4 and stores.saved_sequence(saved, "c") is None
+
+
+def test_building_probabilities(spark):
+    """A shifted building without overlap is found by its anchors; equal ones do not take part."""
+    ring = lambda x, y, w=0.001: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    anchors = [(i, ring(0.01 + 0.003 * i, 0.01 + 0.002 * (i % 3))) for i in range(5)]
+    left = [*anchors, (50, ring(0.02, 0.03)), (51, ring(0.03, 0.04))]
+    right = [*((100 + i, r) for i, r in anchors), (150, ring(0.0205, 0.0301)), (151, ring(0.0321, 0.0402)), (152, ring(0.4, 0.4))]
+    frame = lambda rows: matching.buildings(spark.createDataFrame([(i, r, {"building": "yes"}) for i, r in rows], "id long, ring array<struct<x:double,y:double>>, tags map<string,string>"))
+    got = {(r.a_id, r.b_id): r.p for r in matching.building_probabilities(frame(left), frame(right), 0.01, 0.05).collect()}
+    assert set(got) == {(50, 150), (51, 150), (51, 151)} and got[51, 151] > 0.5
+    assert got[50, 150] == max(p for (a, _), p in got.items() if a == 50) and got[51, 151] == max(p for (a, _), p in got.items() if a == 51)
+    alone = {(r.a_id, r.b_id): r.p for r in matching.building_probabilities(frame(left[5:]), frame(right[5:]), 0.01, 0.05).collect()}
+    assert 0.44 < alone[50, 150] <= 1.0
