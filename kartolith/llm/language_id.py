@@ -41,16 +41,17 @@ class Grams:
         self.to = np.full(0x110000, -1, np.int32)
 
     def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lower-cased letters with one 0 around and between runs of them, and the bounds of every text."""
+        """Lower-cased letters with one 0 around and between runs of them in every text, and the texts' bounds."""
         cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         new = np.unique(cp[self.to[cp] < 0]) if len(cp) else cp
         for c in new.tolist():
             self.to[c] = ord(chr(c).lower()[0]) if chr(c).isalpha() else 0
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        x = np.insert(self.to[cp], off, 0)  # a boundary before every text and after the last
-        off = off + np.arange(len(off))
+        x = np.insert(self.to[cp], np.concatenate([off[:-1], off[1:]]), 0)  # a boundary before and after every text, so no text depends on its neighbours
+        off = off + 2 * np.arange(len(off))
         keep = np.ones(len(x), bool)
         keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
+        keep[off[:-1]] = True
         at = np.concatenate([[0], np.cumsum(keep)])
         return x[keep].astype(np.uint32), at[off]
 

@@ -198,3 +198,11 @@ def test_regions_thinned_in_their_bucket(spark, monkeypatch):
     exact = {r.doc_id: r.component_id for r in near_dedup(df, exact=True).collect()}
     monkeypatch.setattr(module, "LOCAL", 2)
     assert {r.doc_id: r.component_id for r in near_dedup(df).collect()} == exact
+
+
+def test_counts_do_not_depend_on_neighbours():
+    texts = ["abc def", "", "x.", "...", "y z!", "q", " lead", "ab"]
+    together = Grams().counts(texts)
+    for i, t in enumerate(texts):
+        assert (together[i] == Grams().counts([t])[0]).all()
+    assert (Grams().counts(["ab"])[0] == Grams().counts(["..ab!!"])[0]).all()
