@@ -161,3 +161,24 @@ def test_building_probabilities(spark):
     assert got[50, 150] == max(p for (a, _), p in got.items() if a == 50) and got[51, 151] == max(p for (a, _), p in got.items() if a == 51)
     alone = {(r.a_id, r.b_id): r.p for r in matching.building_probabilities(frame(left[5:]), frame(right[5:]), 0.01, 0.05).collect()}
     assert 0.44 < alone[50, 150] <= 1.0
+
+
+def test_commands(spark, history, tmp_path):
+    from kartolith import cli
+    from kartolith.sources import files
+
+    at_ = lambda n: f"file://{tmp_path}/{n}"
+    ready = history.withColumns({"nds": F.transform("nds", lambda n: F.struct(n.alias("ref"))), "lat": F.col("lat").cast("decimal(9,7)"), "lon": F.col("lon").cast("decimal(10,7)"), "user": F.lit("u"), "timestamp": F.col("timestamp").cast("timestamp")})
+    files.write_orc(ready.withColumn("members", F.lit(None).cast("array<struct<type:string,ref:long,role:string>>")), at_("h"))
+    cli.main(["history-stats", "--input", at_("h"), "--output", at_("s"), "--checkpoint", at_("k")], spark)
+    cli.main(["history-stats", "--input", at_("missing"), "--output", at_("s2"), "--checkpoint", at_("k"), "--use-checkpoint"], spark)
+    assert spark.read.parquet(at_("s")).count() == spark.read.parquet(at_("s2")).count() == 4
+    cli.main(["faceted-histogram", "--input", at_("h"), "--output", at_("f")], spark)
+    assert spark.read.parquet(at_("f")).where("z = 0 and key like '%:road'").count() > 0
+    lines = spark.createDataFrame([(k, f'{{"uid": 1, "key": "2020001", "lon": {k}.5, "lat": 1.0}}') for k in range(6)], "sequence long, line string")
+    feeds.write_feed(lines, at_("feed"))
+    for last in ("3", "5", "5"):
+        cli.main(["update-histogram", "--input", at_("feed"), "--output", at_("u"), "--store", at_("store"), "--end", last, "--zoom", "2", "--cells", "4", *(["--start", "0"] if last == "3" else [])], spark)
+    assert spark.read.parquet(at_("u")).groupBy("z").agg(F.sum("value")).distinct().count() == 3 and {r[0] for r in spark.read.parquet(at_("u")).groupBy("z").agg(F.sum("value").alias("n")).select("n").collect()} == {6}
+    cli.main(["feed-rows", "--input", at_("feed"), "--output", at_("r"), "--start", "2", "--end", "4", "--columns", "sequence long, lon double"], spark)
+    assert spark.read.parquet(at_("r")).count() == 3
