@@ -196,7 +196,7 @@ def _add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["df"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, centroids: int = 4, fit_docs: int = 1500, slack: float = 0.75, share: float = 0.001, seed: int = 11, id_col: str | None = "doc_id") -> LanguageModel:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, centroids: int = 4, fit_docs: int = 1500, slack: float = 0.6, share: float = 0.001, seed: int = 11, id_col: str | None = "doc_id") -> LanguageModel:
     """Learns from the rows with a language (and ``where``).
 
     fit_docs: documents a language whose vectors are clustered, on average.
