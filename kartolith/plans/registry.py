@@ -579,12 +579,20 @@ def vectorize(spark, sf):
     return features.select("z", "x", "y", "cell", F.size("values").cast("long").alias("keys"), maps.total(F.col("values")).alias("total"))
 
 
-@query()
+@query(
+    f"""WITH {fx.BOXES}, m AS (SELECT *, x + 0.4 * w AS cx, y + 0.4 * h AS cy FROM r),
+o AS (SELECT a.id AS a_id, b.id AS b_id, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) / greatest(a.w * a.h, b.w * b.h) AS p
+  FROM m a JOIN m b ON a.side = 0 AND b.side = 1 AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= 0.05),
+g AS (SELECT id, side, arg_max(other, (p, -other)) AS best, max(p) AS probability, count(*) AS matches
+  FROM (SELECT a_id AS id, 0 AS side, b_id AS other, p FROM o WHERE p > 0.3 UNION ALL SELECT b_id, 1, a_id, p FROM o WHERE p > 0.3) GROUP BY ALL)
+SELECT m.id, CAST(m.side AS INT) AS side, best, round(coalesce(probability, 0.0), 5) AS probability, coalesce(matches, 0) AS matches FROM m LEFT JOIN g ON g.id = m.id AND g.side = m.side"""
+)
 def building_matching(spark, sf):
     r = fx.boxes(spark, sf)
     at = lambda dx, dy: F.struct((F.col("x") + dx * F.col("w")).alias("x"), (F.col("y") + dy * F.col("h")).alias("y"))
     rings = r.select("id", "side", F.array(*[at(*d) for d in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"))
-    return matching.match_buildings(matching.buildings(rings.where("side = 0")), matching.buildings(rings.where("side = 1")), 0.05, 0.3)
+    out = matching.match_buildings(matching.buildings(rings.where("side = 0")), matching.buildings(rings.where("side = 1")), 0.05, 0.3)
+    return out.withColumn("probability", F.round("probability", 5))
 
 
 # Streams
