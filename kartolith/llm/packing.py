@@ -9,8 +9,8 @@ Tokens never move: cuts depend on the document alone, so a map step emits counts
 ids themselves if asked for), and only these are shuffled.  Groups are dealt by row number in the
 written piece table, not by a key, so no repeated row or identifier can make one large.
 
-Tokenising is exact but remembers: the pre-tokeniser always begins a new word at a space before a
-visible character, so texts are split there and each distinct word is encoded once a task.
+Tokenising is exact but remembers: texts are cut, in the bytes of a whole batch at once, where the
+pre-tokeniser always ends a word, and each distinct piece is encoded once a task.
 
 Null text: empty, one piece holding ``end_id``.  Null id: passed through.  Repeated rows: each is packed.
 Empty table: empty result.  Other columns are ignored.
@@ -25,15 +25,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import utf8, written
 
-#: A space that always begins a word of the pre-tokeniser: white space never follows it.
-_SPACE = re.compile("\x20(?=[!-~À-߿])")
+#: A piece that begins with a space before a visible character, where the pre-tokeniser always begins a word, and has no other space.
+_LED = re.compile("\x20[!-~À-߿][^\x20]*")
+_BARE = re.compile(r"\S+")
 GROUP_DOCS = 20_000
-_MEMO_WORDS, _MEMO_BYTES, _JOINED = 300_000, 16 << 20, 1000
+_MEMO_WORDS, _MEMO_BYTES, _JOINED, _BATCH_BYTES = 300_000, 16 << 20, 1000, 4 << 20
+_LETTER, _DIGIT, _SIGN, _QUOTE, _BLANK, _BREAK, _SEEN, _ELSE = range(8)  # _SEEN: visible, of any class
+
+
+def _kinds() -> np.ndarray:
+    """The class of every byte that says it alone; leads of U+00C0 to U+023F are letters, those up to U+07FF visible."""
+    kind = np.full(256, _ELSE, np.uint8)
+    kind[0x21:0x7F] = _SIGN
+    for a, b, k in ((0x30, 0x3A, _DIGIT), (0x41, 0x5B, _LETTER), (0x61, 0x7B, _LETTER), (0x09, 0x0E, _BREAK), (0xC3, 0xC9, _LETTER), (0xC9, 0xE0, _SEEN)):
+        kind[a:b] = k
+    kind[0x20], kind[0x27] = _BLANK, _QUOTE
+    return kind
+
+
+def _pairs(found) -> np.ndarray:
+    return np.array([found(a, b) for a in range(8) for b in range(8)])
+
+
+_KIND = _kinds()
+_VISIBLE = (_LETTER, _DIGIT, _SIGN, _QUOTE, _SEEN)
+#: Neighbours (8 * class + class) of which the first is a space that begins a word.
+_AT_SPACE = _pairs(lambda a, b: a == _BLANK and b in _VISIBLE)
+#: Neighbours that never share a word: of two classes, or white space after anything.  A contraction begins with a quote.
+_APART = _pairs(lambda a, b: a < _BLANK and b <= _BREAK and a != b and (a, b) not in ((_SIGN, _QUOTE), (_QUOTE, _SIGN), (_QUOTE, _LETTER)))
+#: What follows a line break is another word; a break before which there is no other white space is one also where the text ends.
+_AFTER_BREAK = _pairs(lambda a, b: a == _BREAK and b in _VISIBLE)
+
+
+def piece_starts(data: np.ndarray, off: np.ndarray, spaces_only: bool) -> np.ndarray:
+    """Where to cut texts so that the pre-tokeniser makes the same words of the pieces: at least at the start of every text that is not empty."""
+    n = len(data)
+    mark = np.zeros(n + 1, bool)
+    if n > 1:
+        kind = _KIND[data]
+        lead = np.flatnonzero((data >= 0xC3) & (data < 0xC9))
+        second = data[np.minimum(lead + 1, n - 1)]
+        sign = (data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7))  # the multiplication and division signs
+        kind[lead[sign]] = _SEEN
+        kind[lead[~sign] + 1] = _LETTER
+        pair = kind[:-1] * 8 + kind[1:]
+        mark[: n - 1] = _AT_SPACE[pair]
+        ends = off[1:-1]
+        mark[ends[(ends > 0) & (ends < n)] - 1] = False  # the space ends its text
+        if not spaces_only:
+            mark[1:n] |= _APART[pair]
+            mark[2:n] |= _AFTER_BREAK[pair[1:]] & (kind[:-2] < _BLANK)
+    mark[off[:-1][off[1:] > off[:-1]]] = True
+    return np.flatnonzero(mark[:n])
 _DOC = "doc_id long, doc_tokens long, crcs array<long>"
 _DOC_PA = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64()))])
 
@@ -105,26 +154,37 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # byte-level BPE's sign for a space
-        self.first, self.rest = _Words(self._each), _Words(self._joined)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.tokenizer.token_to_id("\u010a")
+        self.words = _Words(self._joined)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(got), np.array([len(x) for x in got], np.int64)
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words after a space: many in one text, told apart by the space each begins with."""
-        ids, size, at = [], np.zeros(len(words), np.int64), []
-        plain = [i for i, w in enumerate(words) if "\x20" not in w]
-        parts = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
-        for some, x in zip(parts, self.tokenizer.encode_batch_fast(["\x20" + "\x20".join([words[i] for i in some]) for some in parts], add_special_tokens=False)):
-            got = np.array(x.ids, np.uint32)
-            cuts = np.flatnonzero(self.spaced[got])
-            ids.append(got)
-            size[some] = np.diff(np.append(cuts, len(got)))
-            at.extend(some)
-        odd = [i for i, w in enumerate(words) if "\x20" in w]
+        """Many pieces in one text: those after a space are told apart by it, those without white space by line breaks between them."""
+        size, ids, at = np.zeros(len(words), np.int64), [], []
+        led = [i for i, w in enumerate(words) if _LED.fullmatch(w)]
+        alone = np.ones(len(words), bool)
+        alone[led] = False
+        bare = [i for i in np.flatnonzero(alone).tolist() if _BARE.fullmatch(words[i])] if self.line_end is not None else []
+        alone[bare] = False
+        for some, between in ((led, ""), (bare, "\n")):
+            parts = [some[k : k + _JOINED] for k in range(0, len(some), _JOINED)]
+            for part, x in zip(parts, self.tokenizer.encode_batch_fast([between.join([words[i] for i in part]) for part in parts], add_special_tokens=False)):
+                got = np.array(x.ids, np.uint32)
+                if between:
+                    ends = np.append(np.flatnonzero(got == self.line_end), len(got))
+                    size[part] = np.diff(ends, prepend=-1) - 1
+                    got = got[got != self.line_end]
+                else:
+                    size[part] = np.diff(np.append(np.flatnonzero(self.spaced[got]), len(got)))
+                ids.append(got)
+                at.extend(part)
+        odd = np.flatnonzero(alone).tolist()
         if odd:
-            got, size[odd] = self._each(["\x20" + words[i] for i in odd])
+            got, size[odd] = self._each([words[i] for i in odd])
             ids.append(got)
             at.extend(odd)
         flat, at = np.concatenate(ids), np.array(at)
@@ -132,34 +192,32 @@ class Encoder:
         start[at] = np.cumsum(size[at]) - size[at]
         return flat[_ranges(start, size)], size
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        heads, tails, sizes = [], [], []
-        self.first.turn()
-        self.rest.turn()
-        number = self.rest.__getitem__
-        for text in texts:
-            head, *words = _SPACE.split(text)
-            heads.append(self.first[head])
-            sizes.append(len(words))
-            tails.extend(map(number, words))
-        self.first.learn()
-        self.rest.learn()
-        words = np.array(tails, np.int64)
-        n = self.rest.size[words]
-        ids = self.rest.flat[_ranges(self.rest.start[words], n)]
-        cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
-        f = self.first
-        return [np.concatenate([f.flat[f.start[h] : f.start[h] + f.size[h]], ids[cuts[i] : cuts[i + 1]]]) for i, h in enumerate(heads)]
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        data, off = utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw = data.tobytes()
+        starts = piece_starts(data, off, any(t in raw for t in self.added))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(raw)).dictionary_encode()
+        self.words.turn()
+        number = np.array([self.words[w] for w in pieces.dictionary.to_pylist()], np.int64)
+        self.words.learn()
+        words = number[pieces.indices.to_numpy()]
+        n = self.words.size[words]
+        ids = self.words.flat[_ranges(self.words.start[words], n)]
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, off)].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))])
+            at = 0
+            while at < batch.num_rows:
+                begin, at = at, max(at + 1, int(np.searchsorted(bytes_, bytes_[at] + _BATCH_BYTES, side="right")) - 1)
+                part = batch.slice(begin, at - begin)
                 totals, crcs, kept = [], [], []
-                for ids in encoder.encode(part.column("text").to_pylist()):
+                for ids in encoder.encode(part.column("text")):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     totals.append(len(ids))
                     raw = memoryview(ids).cast("B")

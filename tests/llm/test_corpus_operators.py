@@ -288,6 +288,26 @@ def test_encoder_equals_tokenizers():
         packing._MEMO_WORDS = limit
 
 
+def test_encoder_encodes_a_word_once():
+    """Words that differ in what follows them are one piece, known from then on; cuts leave the ids as they are."""
+    import random
+
+    import public_tokenizers
+
+    encoder, rng = Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    marks = [".", ",", "###", "\n", ".\n", "?!", " ", " |", "12", "'", "'s"]
+    words = ["".join(rng.choice("abcdeß") for _ in range(9)) for _ in range(300)]
+    for mark in marks:
+        encoder.encode([" ".join(w + mark for w in words)])
+    assert len(encoder.words) <= len(words) + 60
+    odd = list(" \n\r\tab'sßÇ×÷ȿɐЖ\u0301\xa0\u2003\x85\x1c\x00\x7fª语🙂19.#'") + ["'ll", "'ve", "  ", "\n\n", " \n", "\n ", "<|endoftext|>"]
+    for _ in range(300):
+        pool = rng.sample(odd, rng.randrange(2, 9))
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(60)]
+        for t, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_first_fit():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 100, 300)
