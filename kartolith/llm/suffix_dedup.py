@@ -9,9 +9,10 @@ repeat and stay at home; strings a bucket holds several times leave it once.
 
 In a task, multikey quicksort with 8-byte characters orders the suffixes to depth 16; groups that still
 agree are ordered by blind tries, built a level at a time for all groups together: each suffix is
-compared with one leaf of its node, and branches by the depth and byte at which it leaves it.  The result is the suffix array of the
-task's strings with its LCPs; where the LCP reaches ``length``, the least location of the run survives.  Copies
-inside a bucket are found before that by a rolling hash and a comparison of the bytes, and are not sent.
+compared with one leaf of its node, and branches by the depth and byte at which it leaves it.  Suffixes equal to an earlier one
+(by a rolling hash and a comparison of the bytes, run by run) stand behind it without being sorted, and those whose hash no other has
+stay out.  The result is the suffix array of the task's strings that may repeat, with its LCPs; where the LCP reaches ``length``, the
+least location of the run survives.  Copies inside a bucket are found before that in the same way, and are not sent.
 
 Null text: no bytes.  Very long texts: whole, in the bucket of their document.  Null id: the smallest.  Repeated ids: in the order of their texts, one after
 the other.  Texts shorter than ``length`` stay.  Empty table: empty result.  Other columns are ignored.
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from ._common import (
     DATA, MEMO, REQUEST, balanced_labels, bucket_rows, bucketed, messages, null_ids, pack_bits, part_edges, reduce_parts, replies_table, requests_table, string_array, unpack_bits,
 )
-from ._hashing import BASE, BYTE_A, classes, mix, prefix, windows, within
+from ._hashing import BASE, BYTE_A, classes, mix, prefix, windows
 from .substring_dedup import _concat_replies, _slices
 
 LOW32 = np.uint64(0xFFFFFFFF)
-SLICE = 1 << 20
+SLICE = 1 << 16
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -50,8 +51,9 @@ class _Runs:
     def __init__(self, table: pa.Table, length: int, gram: int):
         self.bucket, self.ids, self.data, self.off = bucket_rows(table)
         n = len(self.data)
-        valid = np.zeros(n, bool)
-        valid[within(self.off, length)[0]] = True
+        valid = np.ones(n, bool)
+        tail = np.minimum(np.diff(self.off), length - 1)  # no string of the document starts there
+        valid[_expand(self.off[1:] - tail, tail)] = False
         where, anchor, hashes = [], [], []
         for a in range(0, n, SLICE):
             piece = self.data[a : a + SLICE + length - 1]
@@ -59,14 +61,14 @@ class _Runs:
                 break
             g = windows(prefix(BYTE_A[piece], BASE), gram, BASE)
             least = _sliding_min((g & ~POSITION) | np.arange(len(g), dtype=np.uint64), length - gram + 1)
-            starts = np.flatnonzero(valid[a : a + len(least)])
-            at = (least[starts] & POSITION).astype(np.int64)
-            new = np.ones(len(starts), bool)
-            new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
-            lead = np.flatnonzero(new)
-            where.append(np.stack([starts[lead] + a, np.diff(np.append(lead, len(starts)))]))
-            anchor.append(at[lead] + a)
-            hashes.append(mix(g[at[lead]] ^ np.uint64(0x2545F4914F6CDD1D)))
+            ok = valid[a : a + len(least)]
+            lead = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])))
+            many = np.diff(np.append(lead, len(least)))[ok[lead]]
+            lead = lead[ok[lead]]
+            at = (least[lead] & POSITION).astype(np.int64)
+            where.append(np.stack([lead + a, many]))
+            anchor.append(at + a)
+            hashes.append(mix(g[at] ^ np.uint64(0x2545F4914F6CDD1D)))
         if where:
             start, size = np.concatenate(where, axis=1)
             anchor, h = np.concatenate(anchor), np.concatenate(hashes)
@@ -129,18 +131,7 @@ class _Segments:
         size = r.size[live]
         run = np.repeat(np.arange(len(live)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + r.start[live][run]
-        sums = prefix(BYTE_A[r.data], BASE)
-        h = (sums[at + length] - sums[at]) * _inverse_powers(len(sums))[at] if len(at) else np.empty(0, np.uint64)
-        order, first = classes(mix(h))
-        head = np.minimum.reduceat(at[order], first) if len(at) else at
-        mine = np.empty(len(at), np.int64)
-        mine[order] = np.repeat(head, np.diff(np.append(first, len(at))))
-        copy = np.flatnonzero(mine != at)
-        same = np.ones(len(copy), bool)
-        for o in [*range(0, length - 8, 8), length - 8]:
-            same &= words_at(r.data, at[copy] + o) == words_at(r.data, mine[copy] + o)
-        gone = np.zeros(len(at), bool)
-        gone[copy[same]] = True
+        gone = first_copies(r.data, at, length) != np.arange(len(at))
         self.copies = at[gone]
         at, run = at[~gone], run[~gone]
         new = np.ones(len(at), bool)
@@ -164,6 +155,53 @@ def _inverse_powers(n: int) -> np.ndarray:
     return powers(pow(BASE, -1, 2**64), n)
 
 
+def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each position."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    sums = prefix(BYTE_A[data], BASE)
+    return mix((sums[at + length] - sums[at]) * _inverse_powers(len(sums))[at])
+
+
+def first_copies(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For every string at ``at``, the index of the first one equal to it.
+
+    Strings of one hash are compared with their first in runs: neighbours whose firsts are neighbours overlap in all bytes but one.
+    """
+    order, first = classes(window_hashes(data, at, length))
+    size = np.diff(np.append(first, len(at)))
+    head = np.arange(len(at))
+    many = np.repeat(size > 1, size)
+    order, size = order[many], size[size > 1]
+    while len(order):
+        lead = np.cumsum(size) - size
+        head[order] = np.repeat(np.minimum.reduceat(order, lead), size)
+        copy = np.sort(order[head[order] != order])
+        if not len(copy):
+            break
+        p, q = at[copy], at[head[copy]]
+        new = np.append(True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))
+        run = np.flatnonzero(new)
+        n = np.diff(np.append(run, len(copy)))
+        here, there = _expand(p[run], n + length - 1), _expand(q[run], n + length - 1)
+        unlike = np.flatnonzero(data[here] != data[there])
+        if not len(unlike):
+            break
+        wide = np.cumsum(n + length - 1) - (n + length - 1)
+        odd = np.unique(np.searchsorted(wide, unlike, side="right") - 1)  # runs with a string of equal hash that differs
+        which = copy[_expand(run[odd], n[odd])]
+        same = np.ones(len(which), bool)
+        for o in [*range(0, length - 8, 8), length - 8]:
+            same &= words_at(data, at[which] + o) == words_at(data, at[head[which]] + o)
+        which = which[~same]
+        old = head[which]
+        head[which] = which
+        by = np.lexsort((which, old))
+        order, lead = which[by], np.flatnonzero(np.append(True, old[by][1:] != old[by][:-1]))
+        size = np.diff(np.append(lead, len(order)))
+    return head
+
+
 def _expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
@@ -196,9 +234,33 @@ def _first_byte(d: np.ndarray) -> np.ndarray:
     return place
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``at``, cut at ``length`` bytes, in lexicographic order (equal ones by place in ``at``), and the LCP of each with
-    the one before it (0 for the first).
+    the one before it (0 for the first).  head: what ``first_copies`` found."""
+    head = first_copies(data, at, length) if head is None else head
+    own = np.flatnonzero(head == np.arange(len(at)))
+    by, between = _distinct_order(data, at[own], length)
+    rank = np.empty(len(at), np.int64)
+    rank[own[by]] = np.arange(len(own))
+    rank = rank[head]
+    order = _sorted_by(rank, np.arange(len(at)), len(own), len(at))
+    lcp = np.full(len(at), length, np.int64)
+    lcp[np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1])[: len(at)])] = between
+    return order, lcp
+
+
+def _sorted_by(x: np.ndarray, y: np.ndarray, most_x: int, most_y: int) -> np.ndarray:
+    """Order by x, then by y, then by place where that is cheap; both from 0 up to less than a bound."""
+    low, place = int(most_y).bit_length(), int(len(x)).bit_length()
+    if int(most_x).bit_length() + low + place <= 64:  # sorting values is many times faster than sorting places by two keys
+        packed = (x.astype(np.uint64) << np.uint64(low + place)) | (y.astype(np.uint64) << np.uint64(place)) | np.arange(len(x), dtype=np.uint64)
+        packed.sort()
+        return (packed & np.uint64((1 << place) - 1)).astype(np.int64)
+    return np.lexsort((y, x))
+
+
+def _distinct_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_order`` of suffixes no two of which are equal.
 
     Deep-shallow sorting: multikey quicksort to depth 16, then blind tries.  A trie's node holds one leaf; of the others, the smaller ones
     stand before it with the earlier branches first, the greater ones behind it with the later branches first.
@@ -210,7 +272,11 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
         if not len(item):
             break
         key = words_at(data, at[item] + depth)
-        by = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
+        by = np.argsort(key)
+        if depth:
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            by = _sorted_by(group, rank, int(group[-1]) + 1, len(by))
         key, item, group, base = key[by], item[by], group[by], base[by]
         fresh = np.append(True, group[1:] != group[:-1])
         lead = np.flatnonzero(fresh)
@@ -224,7 +290,7 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
         fresh = np.append(True, group[1:] != group[:-1])
         lead = np.flatnonzero(fresh)
         size = np.diff(np.append(lead, len(item)))
-        leaf = np.repeat(np.minimum.reduceat(item, lead), size)
+        leaf = np.repeat(item[lead + size // 2], size)
         code, branch = np.full(len(item), length * 256, np.int64), np.full(len(item), length, np.int64)
         open_ = np.flatnonzero(item != leaf)
         for o in [*range(16, length - 8, 8), length - 8]:
@@ -241,34 +307,29 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
                 keep = np.ones(len(open_), bool)
                 keep[apart] = False
                 open_ = open_[keep]
-        by = np.lexsort((item, code, group))
+        by = _sorted_by(group, code, int(group[-1]) + 1, 2 * length * 256 + 1)
         item, group, base, code, branch = item[by], group[by], base[by], code[by], branch[by]
         place = base + np.arange(len(item)) - np.repeat(lead, size)
         order[place] = item
         new = fresh | np.append(True, code[1:] != code[:-1])
         split = np.flatnonzero(new & ~fresh)
         lcp[place[split]] = np.minimum(branch[split], branch[split - 1])
-        same = np.flatnonzero(~new & (branch == length))
-        lcp[place[same]] = length
-        deep = branch < length  # the leaf's class is settled
-        item, group, base = _unsettled(item, new, place, deep)
+        item, group, base = _unsettled(item, new, place)
     return order, lcp
 
 
-def _unsettled(item: np.ndarray, new: np.ndarray, place: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unsettled(item: np.ndarray, new: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items of groups of two at least, their groups and the groups' first places."""
     lead = np.flatnonzero(new)
     size = np.diff(np.append(lead, len(item)))
     many = np.repeat(size > 1, size)
-    if among is not None:
-        many &= among
-    group = np.cumsum(new)[many]
-    return item[many], group, np.repeat(place[lead], size)[many]
+    few = size[size > 1]
+    return item[many], np.repeat(np.arange(len(few)), few), np.repeat(place[lead][size > 1], few)
 
 
-def first_equal(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def first_equal(data: np.ndarray, at: np.ndarray, length: int, head: np.ndarray | None = None) -> np.ndarray:
     """For every suffix, the index of the first of those whose ``length`` bytes equal its own: runs of the suffix array whose LCP is ``length``."""
-    order, lcp = suffix_order(data, at, length)
+    order, lcp = suffix_order(data, at, length, head)
     root = np.empty(len(at), np.int64)
     if len(at):
         lead = np.flatnonzero((lcp < length) | (np.arange(len(at)) == 0))
@@ -296,7 +357,11 @@ def _sort_suffixes(length: int):
         base = np.cumsum(room) - room
         by = np.lexsort((begin, ids))  # segments in the order of their locations; starts inside one follow
         at = _expand(base[by], size[by])
-        later = first_equal(text, at, length) != np.arange(len(at))
+        head = first_copies(text, at, length)
+        live = np.bincount(head, minlength=len(at))[head] > 1  # the others have no equal
+        place = np.cumsum(live) - 1
+        later = np.zeros(len(at), bool)
+        later[live] = first_equal(text, at[live], length, place[head[live]]) != np.arange(live.sum())
         begun = np.empty(len(size), np.int64)
         begun[by] = np.cumsum(size[by]) - size[by]
         bits = later[_expand(begun, size)]

@@ -189,6 +189,34 @@ def test_suffix_order_is_lexicographic(alphabet, n, length):
     assert suffix_order(data, at[:0], length)[0].tolist() == []
 
 
+def test_copies_are_not_sorted(monkeypatch):
+    """Suffixes equal to an earlier one are found by runs: the bytes read by the sort follow the distinct ones, not all."""
+    from kartolith.llm import suffix_dedup as s
+
+    text = np.random.default_rng(3).integers(97, 105, 2000).astype(np.uint8)
+    data, read, at = np.tile(text, 40), [], s._expand(np.arange(40) * 2000, np.full(40, 1901))
+    words_at = s.words_at
+    monkeypatch.setattr(s, "words_at", lambda d, i: read.append(len(i)) or words_at(d, i))
+    assert s.first_equal(data, at, 100).tolist() == list(range(1901)) * 40
+    assert sum(read) < len(at)
+
+
+@pytest.mark.parametrize("hashes", [1, 7])
+def test_strings_of_one_hash_are_told_apart(monkeypatch, hashes):
+    from kartolith.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(hashes)
+    data = rng.integers(97, 99, 700).astype(np.uint8)
+    data[300:450] = data[:150]
+    data[500:600] = data[310:410]
+    at = np.concatenate([np.arange(250, 650), np.arange(250)])
+    monkeypatch.setattr(s, "window_hashes", lambda d, i, n: d[i].astype(np.uint64) * 0 + (d[i] * 3 + d[i + n - 1] + d[i + 5] * 5).astype(np.uint64) % np.uint64(hashes))
+    seen = {}
+    want = [seen.setdefault(data[i : i + 32].tobytes(), k) for k, i in enumerate(at.tolist())]
+    assert s.first_copies(data, at, 32).tolist() == want
+    assert s.first_equal(data, at, 32).tolist() == want
+
+
 def test_regions_thinned_in_their_bucket(spark, monkeypatch):
     """Families that are dense within single buckets: the same components as by the exact join."""
     from kartolith.llm import near_dedup as module
