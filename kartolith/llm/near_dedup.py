@@ -11,9 +11,10 @@ depth at which an order is read adapts to the region: a leaf is the shortest com
 where more than LEAF sets share 4 values (a dense region), each also meets the first of every longer prefix.
 Candidates are screened by 128 one-bit MinHashes, six standard deviations below the threshold, and confirmed on full sets.
 
-Dense regions are settled exactly.  The sets of their documents are stored once; while a region holds several components,
-its documents go through further forests with new hash functions, across components only, and when one joins
-nothing more, what is left is compared in full: documents outside a region's greatest component meet all others, in
+Dense regions are settled exactly.  The sets of their documents are stored once; a region of one block at most that holds several
+components is compared in full at once, in a task with the other regions of its smallest document, so that sets they share move once.
+While a wider region holds several components, its documents go through further forests with new hash functions, across components only,
+and when one joins nothing more, what is left is compared in full: documents outside a region's greatest component meet all others, in
 blocks.  So no two documents that share 4 values of an order stay uncompared, however dense their region; a pair at 70 %
 that shares no 4 values in any of 32 orders (1.5 in 10,000) is found by a leaf of 2 or 3 values where its surroundings are
 sparse.  ``exact`` compares all documents by a prefix-filter join instead, without a chance of a miss.
@@ -46,7 +47,7 @@ from .substring_dedup import _slices
 DEPTH, DEEP, LEAF, SHALLOW = 4, 4, 8, 2
 LOCAL = 16
 HOME = 2  # a message that a bucket sends itself
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK, BLOCK_SHINGLES, CELL_SHINGLES = 512, 1 << 19, 1 << 23
 _NODE = "doc_id long, n_shingles long, d1 long, d2 long, links array<long>, regions array<long>, shingles binary"
 _NODE_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
@@ -136,7 +137,7 @@ def allowed(values: int, percent: int) -> int:
     return math.ceil(m * p + 6 * math.sqrt(m * p * (1 - p))) + 1
 
 
-def _forest(labels: np.ndarray, size: int, percent: int, trees: int, seed: int):
+def _forest(labels: np.ndarray, size: int, percent: int, trees: int, seed: int, first_round: bool):
     def run(table: pa.Table) -> pa.Table:
         bucket, ids, component, sh, so = _load(table, size)
         n = np.diff(so)
@@ -168,8 +169,9 @@ def _forest(labels: np.ndarray, size: int, percent: int, trees: int, seed: int):
             used, index = np.unique(doc[a:b], return_inverse=True)
             which = own[used]
             index = index.astype(np.uint16 if len(used) < 65536 else np.uint32)
-            head = np.array([b - a, len(used), index.itemsize], np.int64)
-            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], ids[which], component[which], d1[which], s1[used], s2[used], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index)) + pack_bits(heavy[a:b])))
+            known = component[:0] if first_round else component[which]  # at first every document is a component
+            head = np.array([b - a, len(used), index.itemsize, len(known)], np.int64)
+            rows.append((part, bucket, DATA, b"".join(v.tobytes() for v in (head, keys[a:b], known, d1[which], s1[used], s2[used], deep[a:b], which.astype(np.uint32), n[which].astype(np.uint32), index)) + pack_bits(heavy[a:b])))
         return requests_table(rows)
 
     return run
@@ -227,15 +229,17 @@ def _regions(percent: int, differ: int):
         for bucket, kind, m in got:
             if kind == HOME:
                 continue
-            n, u, width = np.frombuffer(m, np.int64, 3).tolist()
-            keys, at = np.frombuffer(m, np.uint64, n, 24), 24 + 8 * n
-            ids, comp = np.frombuffer(m, np.int64, 2 * u, at).reshape(2, u)
-            d1, s1, s2 = np.frombuffer(m, np.uint64, 3 * u, at + 16 * u).reshape(3, u)
-            at += 40 * u
+            n, u, width, k = np.frombuffer(m, np.int64, 4).tolist()
+            keys, at = np.frombuffer(m, np.uint64, n, 32), 32 + 8 * n
+            comp = np.frombuffer(m, np.int64, k, at)
+            d1, s1, s2 = np.frombuffer(m, np.uint64, 3 * u, at + 8 * k).reshape(3, u)
+            at += 8 * k + 24 * u
             deep = np.frombuffer(m, np.uint32, n, at)
             which, sizes = np.frombuffer(m, np.uint32, 2 * u, at + 4 * n).reshape(2, u)
             index = np.frombuffer(m, np.uint16 if width == 2 else np.uint32, n, at + 4 * n + 8 * u)
             heavy = unpack_bits(m[at + 4 * n + 8 * u + width * n :], n)
+            ids = (bucket << 32) + which.astype(np.int64)  # a bucket's documents in the order of their identifiers
+            comp = comp if k else ids
             for c, v in zip(cols, (keys, deep, ids[index], d1[index], np.full(n, bucket, np.int64), which[index], sizes[index].astype(np.int64), comp[index], s1[index], s2[index], heavy)):
                 c.append(v)
         if not cols[0]:
@@ -249,7 +253,7 @@ def _regions(percent: int, differ: int):
             return replies_table(out)
         order = order[np.lexsort(tuple(every[k][order] for k in (2, 3, 1, 0)))]
         every = [c[order] for c in every]
-        fresh = _same(every[0], every[3])  # equal sets: the smallest speaks for all
+        fresh = _same(every[0], every[3])  # equal sets: the first speaks for all
         hot = np.logical_or.reduceat(every[10], np.flatnonzero(fresh))
         key, deep, ids, _, bucket, which, sizes, comp, s1, s2, _ = (c[fresh] for c in every)
         leaf = np.full(len(key), -1, np.int64)
@@ -384,7 +388,7 @@ def _round(rows: DataFrame, width: int, shingle: int, percent: int, trees: int,
     """One forest over buckets of texts (number 0) or of stored sets."""
     labels = balanced_labels(width, 1)
     grouped = rows.groupBy("bucket")
-    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, percent, trees, 7919 + number), REQUEST), width, _regions(percent, allowed(trees * DEPTH, percent)))
+    pairs = reduce_parts(grouped.applyInArrow(_forest(labels, shingle, percent, trees, 7919 + number, not number), REQUEST), width, _regions(percent, allowed(trees * DEPTH, percent)))
     sets = grouped.cogroup(pairs.groupBy("bucket")).applyInArrow(_send_sets(shingle), REQUEST).repartition(width, "part")
     return written(grouped.cogroup(sets.groupBy("part")).applyInArrow(_confirm(shingle, percent, not number), _NODE), "nodes")
 
@@ -424,6 +428,44 @@ def _compare(percent: int):
     return run
 
 
+def _compare_cell(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        comp, regions = table.column("component").to_numpy(), table.column("regions").combine_chunks()
+        raw, off = utf8(table.column("shingles"))
+        sh, so = np.frombuffer(raw.tobytes(), np.uint64), off // 8
+        n = np.diff(so)
+        if len(comp) <= 2 * BLOCK:
+            groups = [np.arange(len(comp))]
+        else:
+            doc, region = np.repeat(np.arange(len(comp)), regions.value_lengths().to_numpy(zero_copy_only=False)), regions.flatten().to_numpy()
+            by = np.argsort(region, kind="stable")
+            groups = [np.unique(g) for g in np.split(doc[by], np.flatnonzero(_same(region[by]))[1:])]
+        links = []
+        for g in groups:
+            part = np.concatenate([sh[so[k] : so[k + 1]] for k in g.tolist()])
+            every = np.arange(len(g))
+            both = shared_counts(part, np.concatenate([[0], np.cumsum(n[g])]), every, every)
+            a, x = np.nonzero((100 * both >= percent * (n[g][:, None] + n[g][None, :] - both)) & (both > 0) & (comp[g][:, None] < comp[g][None, :]))
+            links.append(np.stack([comp[g[a]], comp[g[x]]], axis=1))
+        links = np.unique(np.concatenate(links), axis=0)
+        return pa.table({"u": pa.array(links[:, 0], pa.int64()), "v": pa.array(links[:, 1], pa.int64())})
+
+    return run
+
+
+def narrow(placed: DataFrame) -> DataFrame:
+    """The regions of one block at most, and the cells in which they are compared: the regions of one smallest document, or each alone if these hold too much."""
+    each = placed.groupBy("region").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where((F.col("n") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES))
+    full = each.groupBy("least").agg(F.sum("s").alias("all"))
+    return each.join(full, "least").select("region", "least", F.when(F.col("all") > CELL_SHINGLES, F.col("region")).alias("alone"))
+
+
+def settle_narrow(sets: DataFrame, placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the components of regions of one block at most, all their documents compared on full sets."""
+    docs = placed.join(cells, "region").groupBy("least", "alone", "doc_id").agg(F.first("component").alias("component"), F.collect_list("region").alias("regions"))
+    return docs.join(sets, "doc_id").groupBy("least", "alone").applyInArrow(_compare_cell(percent), "u long, v long").distinct()
+
+
 def settle(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the components of every region, all documents of different components compared on full sets.
 
@@ -501,15 +543,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = speak.join(same, ["d1", "d2", "n_shingles"]).select("u", F.col("doc_id").alias("v")).union(nodes.select(F.col("doc_id").alias("u"), F.explode("links").alias("v")))
     found = written(components(edges if pairs is None else edges.union(pairs)), "components")
     sets = nodes.where("regions is not null").select("doc_id", "n_shingles", "shingles", "regions") if pairs is None else None
-    number = 0
+    number, wide = 0, None
     while sets is not None:
         owned = sets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = owned.select("doc_id", "n_shingles", "component", F.explode("regions").alias("region"))
+        placed = placed if wide is None else placed.join(wide, "region", "left_semi")
         torn = placed.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
         placed = written(placed.join(torn, "region", "left_semi"), "placed")
         again = placed.select("doc_id").distinct()
         if placed.isEmpty():
             break
+        if wide is None:  # the narrow regions in full, once for all
+            cells = written(narrow(placed), "cells")
+            fresh = written(settle_narrow(sets.select("doc_id", "shingles"), placed, cells, percent), "links")
+            wide = written(placed.select("region").distinct().join(cells, "region", "left_anti"), "wide")
+            if not fresh.isEmpty():
+                found = written(components(fresh.union(found.select(F.col("id").alias("u"), F.col("component").alias("v")))), "components")
+            if wide.isEmpty():
+                break
+            continue
         number += 1
         left = dealt(owned.join(again, "doc_id", "left_semi").select("doc_id", "component", "shingles"), width, 4, "doc_id")
         more = _round(left, width, shingle, percent, trees, number)

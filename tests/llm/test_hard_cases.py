@@ -228,6 +228,37 @@ def test_regions_thinned_in_their_bucket(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup(df).collect()} == exact
 
 
+def test_narrow_regions_need_no_further_forest(spark, monkeypatch):
+    """Documents that share much, but less than the threshold: their regions are compared in full at once, sets moving once a cell."""
+    from kartolith.llm import near_dedup as n
+
+    rng = np.random.default_rng(8)
+    word = lambda k: " ".join(map(str, rng.integers(0, 10**9, k)))
+    common = word(90)
+    texts = [(i, f"{common} {word(22)}") for i in range(120)]
+    texts += [(500 + i, texts[i][1] + " " + word(3)) for i in range(0, 120, 10)]
+    rounds, forest = [], n._round
+    monkeypatch.setattr(n, "_round", lambda *a: rounds.append(a[-1]) or forest(*a))
+    for limit in (n.CELL_SHINGLES, 0):  # regions of one document together, or each alone
+        monkeypatch.setattr(n, "CELL_SHINGLES", limit)
+        rounds.clear()
+        got = {r.doc_id: r.component_id for r in n.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert got == {i: i - 500 if i >= 500 else i for i, _ in texts} and rounds == [0]
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_cells_compare_all_components(monkeypatch, block):
+    import pyarrow as pa
+
+    from kartolith.llm import near_dedup as n
+
+    sets = [np.arange(a, a + 20, dtype=np.uint64) for a in (0, 1, 30, 32, 100, 2, 200)]
+    monkeypatch.setattr(n, "BLOCK", block)
+    table = pa.table({"component": pa.array([1, 2, 3, 4, 5, 1, 7]), "regions": [[1, 2], [1], [1, 2], [2], [2], [1], [1]], "shingles": [x.tobytes() for x in sets]})
+    found = n._compare_cell(70)(table)
+    assert list(zip(found["u"].to_pylist(), found["v"].to_pylist())) == [(1, 2), (3, 4)]
+
+
 def test_counts_do_not_depend_on_neighbours():
     texts = ["abc def", "", "x.", "...", "y z!", "q", " lead", "ab"]
     together = Grams().counts(texts)
