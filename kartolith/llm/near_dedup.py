@@ -351,7 +351,7 @@ def _confirm(size: int, percent: int, first_round: bool):
             sets = np.frombuffer(m, np.uint64, int(sizes.sum()), 16 + 16 * (u + k))
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             for j, i in zip(index.tolist(), mine.tolist()):
-                if linked(sets[cuts[j] : cuts[j + 1]], sh[so[i] : so[i + 1]], percent):
+                if theirs[j] != ids[i] and linked(sets[cuts[j] : cuts[j + 1]], sh[so[i] : so[i + 1]], percent):
                     links.setdefault(i, set()).add(int(theirs[j]))
         for i in np.flatnonzero((own >= 0) & (own != np.arange(len(own)))).tolist():
             links.setdefault(i, set()).add(int(ids[own[i]]))

@@ -246,6 +246,14 @@ def test_narrow_regions_need_no_further_forest(spark, monkeypatch):
         assert got == {i: i - 500 if i >= 500 else i for i, _ in texts} and rounds == [0]
 
 
+def test_rows_of_one_identifier_are_no_link(spark):
+    from kartolith.llm.near_dedup import near_dedup
+
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(7, text), (7, text + " more")], "doc_id long, text string")
+    assert [(r.component_id, r.n_links) for r in near_dedup(df).collect()] == [(7, 0)] * 2
+
+
 @pytest.mark.parametrize("block", [3, 500])
 def test_cells_compare_all_components(monkeypatch, block):
     import pyarrow as pa
