@@ -62,9 +62,13 @@ def fresh_rows(new: DataFrame, applied: DataFrame, *keys: str) -> DataFrame:
 
 def upsert_counts(stored: DataFrame, new: DataFrame, applied: DataFrame, key: str = "changeset") -> tuple[DataFrame, DataFrame]:
     """(table, applied): long (key, name, value) rows of new sequences added to the stored ones."""
-    fresh = fresh_rows(new, applied, key)
+    return upsert_fresh(stored, fresh_rows(new, applied, key), applied, key)
+
+
+def upsert_fresh(stored: DataFrame, fresh: DataFrame, applied: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``upsert_counts`` of rows whose (key, sequence) is known not to have been applied."""
     table = stored.select(key, "name", "value").unionByName(fresh.select(key, "name", "value")).groupBy(key, "name").agg(F.sum("value").alias("value"))
-    return table, applied.select(key, "sequence").union(fresh.select(key, "sequence")).distinct()
+    return table, applied.select(key, "sequence").union(fresh.select(key, "sequence").distinct())
 
 
 def upsert_latest(stored: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:

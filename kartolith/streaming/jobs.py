@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.time import time_of
 from ..operators import footprints, stores, tiles
+from ..session import stored
 
 OPEN_HOURS = 25
 
@@ -38,13 +39,24 @@ def merge_into(table: stores.SnapshotTable, applied: stores.SnapshotTable, key:
     """foreachBatch function: long (key, name, value, sequence) rows, that ``prepare`` makes of a batch, added once per sequence.
 
     Table and applied sequences move under one pointer, so a batch that is replayed after a crash finds both or neither.
+    ``prepare`` keeps groups of key and sequence apart: where a batch has both columns, it gets those alone that were not applied.
+    A batch that adds nothing leaves both tables as they are.
     """
     applied.follow(table)
 
     def run(batch: DataFrame, _: int) -> None:
-        rows = (prepare(batch) if prepare else batch).persist()
-        table.replace(*_both(stores.upsert_counts(table.read(), rows, applied.read(), key), applied))
-        rows.unpersist()
+        done, batch = applied.read(), batch.persist()
+        if prepare and {key, "sequence"} <= set(batch.columns):
+            new = stored(stores.fresh_rows(batch.select(key, "sequence").distinct(), done, key), "fresh")
+            again = done.join(batch.select("sequence").distinct(), "sequence", "left_semi")
+            rows = None if new.isEmpty() else prepare(batch if again.isEmpty() else batch.join(new, [key, "sequence"], "left_semi"))
+        else:
+            rows = stores.fresh_rows(prepare(batch) if prepare else batch, done, key)
+        if rows is not None:
+            rows = stored(rows.select(key, "sequence", "name", "value"), "rows")
+            if not rows.isEmpty():
+                table.replace(*_both(stores.upsert_fresh(table.read(), rows, done, key), applied))
+        batch.unpersist()
 
     return run
 
@@ -67,14 +79,17 @@ def merge_countries(table: stores.SnapshotTable, applied: stores.SnapshotTable,
 def update_tiles(table: stores.SnapshotTable, committed: stores.SnapshotTable, prepare: Callable[[DataFrame], DataFrame], grid: tiles.Grid, facets: list[str] | None = None, keep: int = tiles.KEEP_SEQUENCES) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: points that ``prepare`` makes of a batch (key, lon, lat, sequence [, facets]) added to a tile table.
 
-    A sequence that a tile holds adds nothing; of a tile's sequences the newest ``keep`` are remembered.
+    A sequence that a tile holds adds nothing, and a batch that adds nothing leaves both tables as they are; of a tile's sequences the newest
+    ``keep`` are remembered.
     """
     committed.follow(table)
 
     def run(batch: DataFrame, _: int) -> None:
         points = prepare(batch.persist())
-        cells, known = footprints.update(table.read(), committed.read(), tiles.facet_rows(points, facets) if facets else points, grid, keep=keep, value="value" if facets else None)
-        table.replace(cells, committed, known)
+        before = table.read()
+        cells, known = footprints.update(before, committed.read(), tiles.facet_rows(points, facets) if facets else points, grid, keep=keep, value="value" if facets else None)
+        if cells is not before:
+            table.replace(cells, committed, known)
         batch.unpersist()
 
     return run
